@@ -25,7 +25,7 @@ from sparkcover.operators.wordcount import (
     popular_words,
     word_count,
 )
-from sparkcover.plans.greedy import greedy_dominating_set
+from sparkcover.plans.greedy import greedy_dominating_set, greedy_dominating_set_directed
 from sparkcover.plans.lp import (
     fractional_dominating_set,
     lp_rounded_dominating_set,
@@ -68,6 +68,14 @@ def part_supplier(spark, sf_dir):
     return bipartite_edges(li, "l_partkey", "l_suppkey")
 
 
+def order_customer(spark, sf_dir):
+    return bipartite_edges(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
+
+
+def customer_nation(spark, sf_dir):
+    return bipartite_edges(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")
+
+
 def seed_colors(edges: DataFrame) -> DataFrame:
     """A fixed test colouring of the vertices: black, gray or white by id."""
     vid = F.col("id")
@@ -204,6 +212,15 @@ def q_greedy_dominating_set(spark, sf_dir):
     return greedy_dominating_set(part_supplier(spark, sf_dir))
 
 
+def q_greedy_dominating_set_orders(spark, sf_dir):
+    return greedy_dominating_set(order_customer(spark, sf_dir))
+
+
+def q_greedy_dominating_set_directed(spark, sf_dir):
+    out = greedy_dominating_set_directed(customer_nation(spark, sf_dir))
+    return out.select("id", "color", "halt_step")
+
+
 def _rounded(df):
     return df.select("id", "color", F.round("x", 6).alias("x"))
 
@@ -269,6 +286,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "onehop_max_degree": q_onehop_max_degree,
     "twohop_max_degree": q_twohop_max_degree,
     "greedy_dominating_set": q_greedy_dominating_set,
+    "greedy_dominating_set_orders": q_greedy_dominating_set_orders,
+    "greedy_dominating_set_directed": q_greedy_dominating_set_directed,
     "fractional_dominating_set": q_fractional_dominating_set,
     "round_fractional_ds": q_round_fractional_ds,
     "lp_rounded_dominating_set": q_lp_rounded_dominating_set,

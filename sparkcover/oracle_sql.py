@@ -34,7 +34,13 @@ def _bipartite(a: str, b: str) -> str:
     )
 
 
+def _bipartite_of(table: str, a: str, b: str) -> str:
+    return _bipartite(a, b).replace("FROM lineitem", f"FROM {table}")
+
+
 ORDER_PART = _bipartite("l_orderkey", "l_partkey")
+ORDER_CUSTOMER = _bipartite_of("orders", "o_orderkey", "o_custkey")
+CUSTOMER_NATION = _bipartite_of("customer", "c_custkey", "c_nationkey")
 PART_SUPPLIER = _bipartite("l_partkey", "l_suppkey")
 
 LINES = (
@@ -279,6 +285,11 @@ def oracle_sql() -> dict[str, str]:
     )
     greedy = greedy_sql(PART_SUPPLIER, GREEDY_ORACLE_ROUNDS)
     q["greedy_dominating_set"] = f"{greedy} SELECT id, color, halt_step FROM greedy"
+    for key, graph in (
+        ("greedy_dominating_set_orders", ORDER_CUSTOMER),
+        ("greedy_dominating_set_directed", CUSTOMER_NATION),
+    ):
+        q[key] = f"{greedy_sql(graph, 8)} SELECT id, color, halt_step FROM greedy"
     q["result_text_rows"] = (
         f"{greedy} SELECT CAST(id AS VARCHAR) || chr(9) || '(' || CAST(color AS VARCHAR) || ',' "
         "|| CAST(halt_step AS VARCHAR) || ')' AS line FROM greedy"
