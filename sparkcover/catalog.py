@@ -234,7 +234,9 @@ def q_round_fractional_ds(spark, sf_dir):
     g = part_supplier(spark, sf_dir)
     es = nb.EdgeSet(g, materialize=True)
     frac = fractional_dominating_set(es, LP_K, max_in_degree(g))
-    return _rounded(round_fractional_ds(es, frac, DRAW_SEED))
+    out = round_fractional_ds(es, frac, DRAW_SEED)  # checkpointed: independent of es
+    es.release()
+    return _rounded(out)
 
 
 def q_lp_rounded_dominating_set(spark, sf_dir):
