@@ -34,6 +34,20 @@ def packed(df: DataFrame, drop: tuple[str, ...] = ()) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out])
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for working columns that no column of ``df`` starts with (any case)."""
+    k = 0
+    while any(c.lower().startswith(f"w{k}_") for c in df.columns):
+        k += 1
+    return f"w{k}_"
+
+
+def kept_columns(df: DataFrame, outputs: tuple[str, ...]) -> list[Column]:
+    """The columns of ``df`` that don't give way to an output column of the same name."""
+    out = {c.lower() for c in outputs}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in out]
+
+
 def word_class_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

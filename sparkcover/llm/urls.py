@@ -15,10 +15,10 @@ The labels that train the models are the rules' own verdicts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcover.llm.common import packed, word_class_lower, written
+from sparkcover.llm.common import free_prefix, kept_columns, word_class_lower, written
 
 OUTPUTS = ("host", "path", "rule", "verdict", "score")
 _START, _END = "\u0002", "\u0003"  # padding before, and one mark after each URL
@@ -164,19 +164,20 @@ def judge_urls(
     give way to it.
     """
     host, path = split_url(F.col(f"`{url}`"))
-    rows = pages.select(packed(pages, OUTPUTS).alias("page"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("m", rule_match(F.col("host"), F.col("path"), rules)).withColumn(
-        "t", F.concat("host", "path")
+    w = free_prefix(pages)
+    c = {x: f"{w}{x}" for x in ("host", "path", "m", "t", "score")}
+    rows = pages.select("*", host.alias(c["host"]), path.alias(c["path"]))
+    rows = rows.withColumn(c["m"], rule_match(F.col(c["host"]), F.col(c["path"]), rules)).withColumn(
+        c["t"], F.concat(c["host"], c["path"])
     )
     # the text decides the rule, so each distinct text has one label
     texts = written(
-        rows.groupBy("host", "path", "t").agg(F.first("m.verdict").alias("label"))
+        rows.groupBy(F.col(c["t"]).alias("t")).agg(F.first(F.col(c["m"])["verdict"]).alias("label"))
         .select("t", "label", F.monotonically_increasing_id().alias("id")),
         "url-texts",
     )
-    keyed = texts.select("id", "t", (F.col("label") == "allow").alias("a"), (F.col("label") == "block").alias("b"))
-    counts = _grams(keyed.drop("id"), order).groupBy("g").agg(
-        F.count_if("a").alias("a"), F.count_if("b").alias("b")
+    counts = _grams(texts.select("t", "label"), order).groupBy("g").agg(
+        F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("b")
     )
     model = written(_levels(written(counts, "url-counts"), order), "url-model")
     by_label = F.when(F.col("label") == "allow", F.col("r_a")).when(F.col("label") == "block", F.col("r_b")).otherwise(F.col("r"))
@@ -186,13 +187,15 @@ def judge_urls(
         "url-scores",
     )
     cut = _threshold(scored)
-    by_text = texts.join(scored.select("id", "score"), "id").groupBy("t").agg(F.first("score").alias("score"))
-    method = F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))
-    return rows.join(by_text, "t").select(
-        "page.*",
-        "host",
-        "path",
-        F.col("m.rule").alias("rule"),
-        F.coalesce(F.col("m.verdict"), method).alias("verdict"),
-        "score",
+    by_text = texts.join(scored.select("id", "score"), "id").select(
+        F.col("t").alias(c["t"]), F.col("score").alias(c["score"])
+    )
+    method = F.when(F.col(c["score"]) >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))
+    return rows.join(by_text, c["t"]).select(
+        *kept_columns(pages, OUTPUTS),
+        F.col(c["host"]).alias("host"),
+        F.col(c["path"]).alias("path"),
+        F.col(c["m"])["rule"].alias("rule"),
+        F.coalesce(F.col(c["m"])["verdict"], method).alias("verdict"),
+        F.col(c["score"]).alias("score"),
     )
