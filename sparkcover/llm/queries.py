@@ -11,8 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from sparkcover.llm.common import read_table
+from sparkcover.llm.decontaminate import mark_benchmark
+from sparkcover.llm.langid import fit_dictionaries, identify
+from sparkcover.llm.packing import pack
 from sparkcover.llm.sharding import shuffle_into_shards
+from sparkcover.llm.simhash import near_duplicate_groups
+from sparkcover.llm.token_counts import count_tokens
 from sparkcover.llm.urls import judge_urls
 
 SHARDS = 40
@@ -45,9 +52,60 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return near_duplicate_groups(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document lies inside a window of the benchmark."""
+    out = mark_benchmark(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"]
+    )
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 2048."""
+    out = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    return out.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of the whole text."""
+    return count_tokens(
+        read_table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        carry=["doc_id"],
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    out = identify(docs, fit_dictionaries(docs, ~held_out), carry=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
+    "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
