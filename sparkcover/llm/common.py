@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps columns compressed and prunable.
-    The folder is the session's own subfolder of ``spark.checkpoint.dir``.
+    The folder is the session's own subfolder of ``spark.checkpoint.dir``. Shuffle files
+    of finished plans that nothing refers to any more are let go.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's context cleaner works on what the driver's collector finds
+    return spark.read.schema(schema).parquet(path)
 
 
 def packed(df: DataFrame, drop: tuple[str, ...] = ()) -> Column:

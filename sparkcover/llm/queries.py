@@ -19,6 +19,7 @@ from sparkcover.llm.langid import fit_dictionaries, identify
 from sparkcover.llm.packing import pack
 from sparkcover.llm.sharding import shuffle_into_shards
 from sparkcover.llm.simhash import near_duplicate_groups
+from sparkcover.llm.substring import remove_repeated_passages
 from sparkcover.llm.token_counts import count_tokens
 from sparkcover.llm.urls import judge_urls
 
@@ -52,6 +53,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when 13-word passages of earlier documents go."""
+    out = remove_repeated_passages(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return near_duplicate_groups(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -101,6 +108,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
