@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from sparkcover.llm.common import read_table
+from sparkcover.llm.ann import nearest_neighbours
+from sparkcover.llm.common import read_table, written
 from sparkcover.llm.decontaminate import mark_benchmark
 from sparkcover.llm.langid import fit_dictionaries, identify
 from sparkcover.llm.packing import pack
@@ -21,6 +22,7 @@ from sparkcover.llm.sharding import shuffle_into_shards
 from sparkcover.llm.simhash import near_duplicate_groups
 from sparkcover.llm.substring import remove_repeated_passages
 from sparkcover.llm.token_counts import count_tokens
+from sparkcover.llm.toxicity import SAMPLE_ROWS, calibrate, learn_lexicon, match_lexicon, score_of
 from sparkcover.llm.urls import judge_urls
 
 SHARDS = 40
@@ -53,15 +55,41 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    labels = read_table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    lexicon = learn_lexicon(docs, labels, doc_id="doc_id", text="text", label="toxic", sample_rows=SAMPLE_ROWS)
+    matched = written(match_lexicon(docs, lexicon, carry=["doc_id"]), "lexicon-matches")
+    exponent, shares = calibrate(matched, labels, doc_id="doc_id", label="toxic")
+    score = score_of(F.col("raw"), F.col("n_words"), exponent, shares)
+    return matched.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        score.alias("score"),
+        (score >= 0.7).cast("int").alias("predicted"),
+        "n_hits",
+        "raw",
+        "n_words",
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when 13-word passages of earlier documents go."""
     out = remove_repeated_passages(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every embedding whose id is divisible by 20."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), 20, query_every=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
-    return near_duplicate_groups(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    out = near_duplicate_groups(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "fingerprint", "component_id")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +125,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_held_out() -> Column:
+    """True for the rows whose labels language identification doesn't learn from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = language_held_out()
     out = identify(docs, fit_dictionaries(docs, ~held_out), carry=["doc_id"])
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
@@ -108,7 +141,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
+    "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from sparkcover.llm.common import free_prefix, written
 
-OUTPUTS = ("fingerprint", "component_id")
+OUTPUTS = ("fingerprint", "component_id", "representative")
 _BITS = 64
 _SLICE = 1 << 15  # shingles whose bits are counted at a time
 
@@ -226,32 +226,34 @@ def near_duplicate_groups(
     max_bits: int = 4,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with ``fingerprint`` (16 hex digits) and ``component_id``.
+    """``docs`` (or its columns ``carry``) with ``fingerprint``, ``component_id``, ``representative``.
 
-    ``component_id`` is the smallest ``doc_id`` of the connected component, null
-    ids aside (null if all are null). A null text counts as empty; texts without
-    a word have fingerprint zero and link like any other. Texts with fewer words
-    than a shingle are one shingle. Repeated rows stay, each with its group. An
-    empty table gives an empty result. Input columns named like an output give way.
+    ``fingerprint`` has 16 hex digits. ``component_id`` is the smallest ``doc_id`` of the
+    connected component, null ids aside (null if all are null). ``representative`` is
+    true for exactly one row of each component, of that smallest id. A null text counts
+    as empty; texts without a word have fingerprint zero and link like any other. Texts
+    with fewer words than a shingle are one shingle. Repeated rows stay, each with its
+    group. An empty table gives an empty result. Input columns named like an output give
+    way.
     """
     w = free_prefix(docs)
-    fp, did = f"{w}fp", f"{w}id"
+    fp, did, rid = f"{w}fp", f"{w}id", f"{w}row"
     keep = docs.withColumn(did, F.col(f"`{doc_id}`"))
     carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in OUTPUTS]
-    rows = written(
-        with_fingerprints(keep, fp, text=text, shingle_words=shingle_words, carry=[*carried, did]), "fingerprints"
-    )
-    prints = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(did).alias("least_id"))
-    prints = written(prints, "distinct-fingerprints")
+    prints = with_fingerprints(keep, fp, text=text, shingle_words=shingle_words, carry=[*carried, did])
+    rows = written(prints.withColumn(rid, F.monotonically_increasing_id()), "fingerprints")
+    first = F.struct(F.col(did).isNull().alias("no_id"), F.col(did).alias("id"), F.col(rid).alias("row"))
+    prints = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("first")), "distinct-fingerprints")
     n = prints.count()
     stars = components(links(prints, max_bits, parts=3 if n < 1 << 27 else 2))
     rooted = prints.join(stars, prints["fp"] == stars["u"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least_id"
+        "fp", F.coalesce("root", "fp").alias("root"), "first"
     )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = rooted.join(least, "root").select(F.col("fp").alias(fp), F.col("component_id").alias(f"{w}c"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    by_print = rooted.join(least, "root").select(F.col("fp").alias(fp), F.col("least").alias(f"{w}least"))
     return rows.join(by_print, fp).select(
         *[F.col(f"`{c}`") for c in carried],
         F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"),
-        F.col(f"{w}c").alias("component_id"),
+        F.col(f"{w}least")["id"].alias("component_id"),
+        (F.col(f"{w}least")["row"] == F.col(rid)).alias("representative"),
     )
