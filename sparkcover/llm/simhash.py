@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import free_prefix, written
+from sparkcover.llm.common import discard, free_prefix, written
 
 OUTPUTS = ("fingerprint", "component_id", "representative")
 _BITS = 64
@@ -210,7 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = written(small, "links")
+        old, e = e, written(small, "links")
+        discard(old)
         row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == (row["n"], row["h"]) or not row["n"]:
             return e.select("u", F.col("v").alias("root"))

@@ -197,7 +197,8 @@ def _monotone(positive: list[float], total: list[float]) -> list[float]:
     mean = (sum(positive) + 0.5) / (sum(total) + 1)
     pools: list[list[float]] = []
     for p, t in zip(positive, total):
-        pools.append([p + 0.2 * mean, t + 0.2, 1])
+        prior = 0.2 if t else 1e-9  # an empty bin takes its neighbours' share
+        pools.append([p + prior * mean, t + prior, 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [x + y for x, y in zip(pools[-1], last)]

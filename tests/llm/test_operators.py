@@ -1,0 +1,480 @@
+"""Sharding, URL verdicts, packing, token counts, languages, neighbours, toxicity and the pipeline."""
+
+import math
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from sparkcover.llm import ann, langid, packing, token_counts, toxicity, urls
+from sparkcover.llm.sharding import hypergeometric, shuffle_into_shards
+from tests.llm import brute
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+# ------------------------------------------------------------------ sharding
+
+
+@pytest.mark.parametrize("n,shards,block", [(1000, 40, 100_000), (997, 7, 20), (5, 40, 100), (0, 3, 100)])
+def test_shards_hold_every_row_once(spark, n, shards, block):
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 > 0, F.col("id") % 50).alias("doc_id"), F.lit(None).cast("string").alias("text"),
+        F.col("id").alias("Shard"), F.lit("x").alias("pid"), F.col("id").alias("row"),
+    ).repartition(6)
+    rows = shuffle_into_shards(df, shards, rows_per_block=block).collect()
+    assert sorted(r.row for r in rows) == list(range(n))
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(by[j]) for j in range(shards)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+def test_shuffle_is_uniform(spark):
+    n, shards = 4000, 8
+    rows = shuffle_into_shards(spark.range(n).repartition(5), shards, rows_per_block=100).collect()
+    place = {r.id: r.shard * (n // shards) + r.slot for r in rows}
+    x, y = np.arange(n), np.array([place[i] for i in range(n)])
+    assert abs(np.corrcoef(x, y)[0, 1]) < 4 / math.sqrt(n)
+    table = np.histogram2d(x, y, bins=8)[0]
+    assert ((table - n / 64) ** 2 / (n / 64)).sum() < 90  # 49 degrees of freedom
+    neighbours = sum(abs(place[i] - place[i + 1]) == 1 for i in range(n - 1))
+    assert neighbours < 12
+
+
+def test_hypergeometric_law(spark):
+    u = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") * F.lit(2.0**-53)
+    for good, pool, drawn in [(30, 100, 20), (3, 5, 4), (0, 10, 3), (10, 10, 10), (0, 0, 0)]:
+        x = [r[0] for r in spark.range(4000).select(hypergeometric(F.lit(good), F.lit(pool), F.lit(drawn), u)).collect()]
+        got = Counter(x)
+        for k in range(drawn + 1):
+            ways = math.comb(good, k) * math.comb(pool - good, drawn - k) if k <= good and drawn - k <= pool - good else 0
+            p = ways / math.comb(pool, drawn)
+            assert abs(got[k] / 4000 - p) < 4 * math.sqrt(p * (1 - p) / 4000) + 1e-9
+
+
+# ------------------------------------------------------------------ URLs
+
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def plain_rule(url):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    best = None
+    for rule, verdict in RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, best
+
+
+def plain_scores(texts, order=4):
+    """Mean log-likelihood difference per text, own characters left out for labelled ones."""
+    grams = Counter(), Counter()
+    padded = {t: "\u0002" * order + t + "\u0003" for t in texts}
+    count = {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
+    chars = set()
+    for t, label in texts.items():
+        for i in range(len(t) + 1):
+            ctx, c = padded[t][i : i + order], padded[t][i + order]
+            chars.add(c)
+            if label:
+                for k in range(order + 1):
+                    count[label][ctx[order - k :]][c] += 1
+    del grams
+
+    def p(label, ctx, c, out):
+        q = 1 / len(chars)
+        for k in range(order + 1):
+            here = count[label][ctx[order - k :]]
+            n, total, kinds = here[c], sum(here.values()), sum(1 for v in here.values() if v)
+            if out:
+                kinds -= n == 1
+                n, total = max(0, n - 1), max(0, total - 1)
+            q = (n + kinds * q) / (total + kinds) if total + kinds else q
+        return q
+
+    return {
+        t: sum(
+            math.log(p("allow", padded[t][i : i + order], padded[t][i + order], label == "allow"))
+            - math.log(p("block", padded[t][i : i + order], padded[t][i + order], label == "block"))
+            for i in range(len(t) + 1)
+        ) / (len(t) + 1)
+        for t, label in texts.items()
+    }
+
+
+def test_urls_match_plain_version(spark):
+    r = random.Random(1)
+    odd = [None, "", "no scheme", "http://", "http://Example.ORG", "http://example.org/es/1", "HTTPS://a.Example.org/en/1x?y#z",
+           "http://notexample.org/es/", "x://com/fr/?a://b/", "ftp://com/de/é", "http://com?x/fr/", "http://a.com/de/x\ny"]
+    rows = odd + [f"http://{r.choice(['blog.', 'spam.', ''])}{r.choice(['aa', 'zq'])}.{r.choice(['com', 'org', 'net'])}/{r.choice(['fr', 'de', 'en'])}/{r.randint(1, 30)}" for _ in range(150)]
+    df = spark.createDataFrame([(i if i % 9 else None, u, "h", "kept") for i, u in enumerate(rows)], "page_id long, url string, HOST string, w0_t string")
+    got = urls.judge_urls(df, RULES).collect()
+    assert len(got) == len(rows)
+    texts = {}
+    for u in rows:
+        host, path, best = plain_rule(u)
+        texts[host + path] = best[1] if best else None
+    scores = plain_scores(texts)
+    labelled = [(round(max(-20, min(20, scores[t])), 2), v) for t, v in texts.items() if v]
+    for x in got:
+        host, path, best = plain_rule(x.url)
+        assert (x.host, x.path) == (host, path) and x.w0_t == "kept"
+        assert x.rule == (best[0] if best else None)
+        assert abs(x.score - scores[host + path]) < 1e-9
+        if best:
+            assert x.verdict == best[1]
+    free = [(x.score, x.verdict) for x in got if x.rule is None]
+    low = max([s for s, v in free if v == "block"], default=-99)
+    assert low < min([s for s, v in free if v == "allow"], default=99)
+
+    def loss(cut):
+        a, b = [s for s, v in labelled if v == "allow"], [s for s, v in labelled if v == "block"]
+        return sum(s < cut for s in a) / len(a) + sum(s >= cut for s in b) / len(b)
+
+    cut = (low + min(s for s, v in free if v == "allow")) / 2
+    assert loss(cut) <= min(loss(s + d) for s, _ in labelled for d in (-0.005, 0.005)) + 0.1
+    assert urls.judge_urls(df.limit(0), RULES).count() == 0
+
+
+# ------------------------------------------------------------------ packing
+
+
+def pieces(spark, rows, capacity=2048, parts=3):
+    df = spark.createDataFrame(rows, "doc_id long, text string, offset int").repartition(parts)
+    return packing.pack(df, WORDS, capacity=capacity).collect()
+
+
+def plain_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+
+
+@pytest.mark.parametrize("capacity", [2048, 16])
+def test_packing_is_a_round_trip(spark, capacity):
+    r = random.Random(2)
+    odd = [None, "", " \n\t", "İstanbul ΟΔΟΣ Σ. ﬁne Å A\u030a", "it's we'll DON'T 12345", "a\u00a0b\u3000c\u2003d", "a\x1cb\x1fc\x85d", "😀!?…«x»", "x" * 5000,
+           "<|endoftext|> a<|endoftext|>b", "é " * 3000]
+    texts = odd + [" ".join(r.choice(["the", "Über", "naïve,", "w%d" % r.randint(0, 99)]) for _ in range(r.randint(1, 400))) for _ in range(120)]
+    rows = [(i, t, 7) for i, t in enumerate(texts)]
+    out = pieces(spark, rows, capacity)
+    whole = defaultdict(list)
+    for p in out:
+        whole[p.doc_id].append((p.start, p.length, struct.unpack(f"<{p.length}I", p.ids), p.doc_tokens))
+    for i, ids in enumerate(plain_ids(texts)):
+        got = sorted(whole[i])
+        assert sum((list(g[2]) for g in got), []) == ids
+        assert [g[0] for g in got] == [sum(h[1] for h in got[:k]) for k in range(len(got))]
+        assert {g[3] for g in got} == {len(ids)}
+    fills = defaultdict(list)
+    for p in out:
+        fills[p.sequence_id].append((p.offset, p.length))
+    for s in fills.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))]
+    sizes = [sum(n for _, n in s) for s in fills.values()]
+    assert max(sizes) <= capacity and sum(x < capacity for x in sizes) <= 3  # one window a task
+
+
+def test_repeated_rows_and_empty_table(spark):
+    out = pieces(spark, [(1, "a b", 0), (1, "a b", 0)], parts=1)
+    assert len(out) == 2 and {p.offset for p in out} == {0, 3} and len({p.sequence_id for p in out}) == 1
+    assert pieces(spark, []) == []
+
+
+def test_sum_of_squares_choice():
+    p = packing.SumOfSquares(10)
+    assert p.choose(4) == 0
+    for n in (4, 4, 4):
+        p.place(n, None)
+    level = p.level.copy()
+    for size in range(1, 10):
+        costs = {}
+        for h in range(0, 10 - size + 1):
+            if h and not level[h]:
+                continue
+            after = level.copy()
+            if h:
+                after[h] -= 1
+            if h + size < 10:
+                after[h + size] += 1
+            costs[h] = int((after**2).sum())
+        best = min(costs.values())
+        assert p.choose(size) == max(h for h, c in costs.items() if c == best)
+
+
+def test_encoder_forgets_and_learns_again():
+    e = packing.WordEncoder(WORDS, cache_words=5)
+    texts = [" ".join(f"word{i}" for i in range(k, k + 4)) for k in range(20)]
+    flat = [np.frombuffer(x, "<u4").tolist() for x in (e.encode([t.encode()])[0] for t in texts)]
+    assert flat == [ids[:-1] for ids in plain_ids(texts)]
+    assert len(e.cache) <= 9
+
+
+# ------------------------------------------------------------------ token counts
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_tokens_are_counted_once(spark, rule):
+    texts = [None, "", "\n", "\n\n\nx", "one line", "a\n b\n\n  c é😀\nd ", "tab\t\n\n\n\n end\n" * 30]
+    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, section int")
+    rows = token_counts.count_tokens(df, BYTES, public_tokenizers.PATTERN, rule=rule).collect()
+    t = token_counts.ByteTokenizer(BYTES, public_tokenizers.PATTERN)
+    for i, text in enumerate(texts):
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.section)
+        value = text or ""
+        assert "".join(value[r.start_char : r.start_char + r.n_section_chars] for r in mine) == value
+        ids = t.encoding.encode_ordinary(value)
+        assert sum(r.n_tokens for r in mine) == len(ids) == mine[0].doc_tokens
+        limits = np.cumsum([0] + [len(value[r.start_char : r.start_char + r.n_section_chars].encode()) for r in mine])
+        want, crossing, at = [0] * len(mine), [0] * len(mine), 0
+        for x in ids:
+            size = len(t.encoding.decode_single_token_bytes(x))
+            shares = [max(0, min(at + size, b) - max(at, a)) for a, b in zip(limits[:-1], limits[1:])]
+            touched = [k for k, s in enumerate(shares) if s]
+            owner = touched[0] if rule == "start" else touched[-1] if rule == "end" else shares.index(max(shares))
+            want[owner] += 1
+            crossing[owner] += len(touched) > 1
+            at += size
+        assert [r.n_tokens for r in mine] == want and [r.n_crossing for r in mine] == crossing
+    assert token_counts.count_tokens(df.limit(0), BYTES, public_tokenizers.PATTERN).count() == 0
+
+
+# ------------------------------------------------------------------ languages
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_languages_of_held_out_rows(spark):
+    from sparkcover.llm.queries import op10_language_id
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = op10_language_id(spark, DATA).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(got) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and r.lang]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98
+    sure = [r for r in held if r.accepted]
+    assert sum(r.lang == r.lang_pred for r in sure) / len(sure) > 0.99 and len(sure) > 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_of_odd_rows(spark):
+    texts = {"xx": "foo bar baz qux " * 40, "yy": "lorem ipsum dolor sit " * 40}
+    rows = [(i, f"{t} {i}", k, "s") for k, t in texts.items() for i in range(5)]
+    df = spark.createDataFrame(rows + [(90, None, "xx", "s"), (91, "", None, "s"), (92, "12 !!", "yy", "s"), (None, "foo bar baz", None, "s"), (94, "Lorem IPSUM dolor sit " * 9000, None, "s")],
+                               "doc_id long, text string, lang string, score string")
+    found = langid.fit_dictionaries(df, F.lit(True), docs_per_language=2, dictionary_bytes=300)
+    assert set(found) == {"xx", "yy"} and all(len(v) <= 300 for v in found.values())
+    got = {r.text: (r.lang_pred, r.accepted) for r in langid.identify(df, found).collect()}
+    assert got[None] == got[""] == got["12 !!"] == ("und", False)
+    assert got["foo bar baz"] == ("xx", True) and got["Lorem IPSUM dolor sit " * 9000] == ("yy", True)
+    assert langid.fit_dictionaries(df, F.lit(False)) == {}
+    assert {r.lang_pred for r in langid.identify(df, {}).collect()} == {"und"}
+    assert langid.identify(df.limit(0), found).count() == 0
+
+
+# ------------------------------------------------------------------ neighbours
+
+
+def plain_neighbours(rows, k, every):
+    seen = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
+    out = {}
+    for i, v in seen:
+        if i % every == 0:
+            scored = sorted((-math.fsum(a * b for a, b in zip(v, w)), j) for j, w in seen if j != i and len(w) == len(v))
+            out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    return out
+
+
+def odd_vectors(n, dim, seed):
+    r = np.random.default_rng(seed)
+    rows = [(int(i), r.standard_normal(dim).astype(np.float32).astype(float).tolist()) for i in range(n)]
+    rows += [(1000 + i, rows[7][1]) for i in range(40)]  # more copies than neighbours asked for
+    rows += [(2000, [0.0] * dim), (2020, None), (2040, [float("nan")] + [1.0] * (dim - 1)), (2060, [None] + [1.0] * (dim - 1)), (2080, []),
+             (2100, [1.0]), (2120, [float("inf")] * dim), (None, rows[3][1]), rows[5], rows[5]]
+    return rows
+
+
+def same(got, want):
+    have = defaultdict(list)
+    for x in got:
+        have[x.query_id].append((x.rank, x.vec_id, x.score))
+    assert set(have) == set(want)
+    for q, w in want.items():
+        g = sorted(have[q])
+        assert [x[:2] for x in g] == [x[:2] for x in w], q
+        assert all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(g, w))
+
+
+def test_search_over_all_rows_is_exact(spark):
+    rows = odd_vectors(120, 8, 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(ann.nearest_neighbours(df, 6, query_every=20, trees=4).collect(), plain_neighbours([x for x in rows if x[0] != 2100], 6, 20))
+    assert ann.nearest_neighbours(df.limit(0), 6).count() == 0
+    few = df.where("vec_id in (20, 21)")
+    assert [(x.query_id, x.vec_id) for x in ann.nearest_neighbours(few, 6).collect()] == [(20, 21)]
+
+
+def test_forest_recall_and_split_cells(spark):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((30, 16)) * 2
+    rows = [(i, (centres[i % 30] + 0.3 * r.standard_normal(16)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = plain_neighbours(rows, 10, 20)
+    runs = []
+    for cell in (50_000, 15):
+        got = ann.nearest_neighbours(df, 10, query_every=20, trees=12, min_candidates=60, cell_rows=cell).collect()
+        have = defaultdict(set)
+        for x in got:
+            have[x.query_id].add(x.vec_id)
+        runs.append({(x.query_id, x.rank, x.vec_id) for x in got})
+        assert np.mean([len(have[q] & {j for _, j, _ in w}) / len(w) for q, w in want.items()]) > 0.9
+    assert runs[0] == runs[1]  # how cells are cut changes nothing
+
+
+def test_recall_on_the_given_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    v, ids = np.array([x.embedding for x in rows]), np.array([x.vec_id for x in rows])
+    got = defaultdict(set)
+    for x in ann.nearest_neighbours(df, 20, min_candidates=400).collect():  # stays below the first symbol
+        got[x.query_id].add(x.vec_id)
+    hit = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[q]
+        s[q] = -9
+        hit.append(len(got[ids[q]] & set(ids[np.argsort(-s)[:20]])) / 20)
+    assert np.mean(hit) > 0.8  # at the production bound these 2000 rows are searched exactly
+
+
+# ------------------------------------------------------------------ toxicity
+
+
+def test_folding():
+    assert toxicity.folded("An 1D10T, trаsh! (ѕсum) мoron") == " an idiot trash scum moron "
+    assert toxicity.folded("ＴＲＡＳＨ $tup1d cl0wn l0$er") == " trash stupid clown loser "
+    assert toxicity.folded("") == toxicity.folded(" -- ") == "  "
+    assert toxicity.folded("réeux_ou 12 34") == " réeux ou 12 34 "
+
+
+def test_matches_and_exceptions(spark):
+    lexicon = spark.createDataFrame([("trash", 2.0), ("idiot", 3.0), ("clown", 1.0)], "word string, weight double")
+    texts = ["trash trash", "the trash can and trash", "trashy", "id10t", None, "", "clown fish clown", "x " * 20000 + "idiot"]
+    df = spark.createDataFrame([(i, t, 5.0) for i, t in enumerate(texts)], "doc_id long, text string, raw double")
+    for block in (50_000, 1):
+        rows = {r.doc_id: r for r in toxicity.match_lexicon(df, lexicon, block_entries=block).collect()}
+        assert [rows[i].raw for i in range(8)] == [4.0, 2.0, 0.0, 3.0, 0.0, 0.0, 1.0, 3.0]
+        assert [rows[i].n_words for i in (0, 1, 4, 5, 7)] == [2, 5, 0, 0, 20001]
+    assert toxicity.match_lexicon(df.limit(0), lexicon).count() == 0
+    assert {r.raw for r in toxicity.match_lexicon(df, lexicon.limit(0)).collect()} == {0.0}
+
+
+def test_learning_ignores_copies(spark):
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        y = int(i % 8 == 0)
+        words = [r.choice(vocab) for _ in range(30)]
+        if y:
+            for _ in range(2):
+                words[r.randrange(30)] = r.choice(["nasty", "vile"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, y))
+    copy = " ".join(f"only{k}" for k in range(20))
+    for i in range(600, 680):
+        rows.append((i, copy))
+        labels.append((i, 1))
+    docs = spark.createDataFrame(rows + [(None, "nasty"), (9999, None)], "doc_id long, text string")
+    known = spark.createDataFrame(labels + [(9999, None), (None, 1), (8, 0)], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, known, doc_id="doc_id", text="text", label="toxic", sample_rows=10_000)
+    assert {x.word for x in lexicon.collect()} == {"nasty", "vile"}
+    matched = toxicity.match_lexicon(docs, lexicon)
+    exponent, shares = toxicity.calibrate(matched, known, doc_id="doc_id", label="toxic")
+    assert shares == sorted(shares) and 0 < shares[0] < shares[-1] < 1 and exponent in toxicity.EXPONENTS
+    score = toxicity.score_of(F.col("raw"), F.col("n_words"), exponent, shares)
+    got = {x.doc_id: x.s for x in matched.select("doc_id", score.alias("s")).collect()}
+    assert [(i, got[i], exponent) for i in range(600) if (got[i] > 0.7) != (i % 8 == 0)] == []
+    empty = toxicity.learn_lexicon(docs, known.limit(0), doc_id="doc_id", text="text", label="toxic", sample_rows=10)
+    assert empty.count() == 0
+
+
+def test_toxicity_of_held_out_rows(spark):
+    from sparkcover.llm.queries import op3_toxicity
+
+    data = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = op3_toxicity(spark, data)
+    rows = got.join(labels, "doc_id", "left").collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [r for r in rows if r.held_out and r.toxic is not None]
+    right = sum(r.predicted and r.toxic for r in held)
+    assert right / sum(r.predicted for r in held) > 0.95
+    assert right / sum(r.toxic for r in held) > 0.75
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bench = [tuple(x) for x in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    stages = dict(P.STAGES)
+    assert list(stages) == ["language_id", "near_duplicates", "repeated_passages", "decontaminated", "packed"]
+    from sparkcover.llm.common import written
+
+    kept = written(stages["language_id"](spark, docs, DATA), "t")
+    assert kept.columns == docs.columns and kept.count() > 0.98 * docs.count()
+
+    one = written(stages["near_duplicates"](spark, kept, DATA), "t")
+    rows = [(x.doc_id, x.text) for x in kept.collect()]
+    assert sorted(x.doc_id for x in one.collect()) == sorted({g[2] for g in brute.simhash_groups(rows)})
+
+    cut = written(stages["repeated_passages"](spark, one, DATA), "t")
+    want = {}
+    rows = [(x.doc_id, x.text) for x in one.collect()]
+    for (i, n, gone, text), (_, whole) in zip(brute.kept_words(rows), rows):
+        if not gone or gone < n:
+            want[i] = text if gone else whole
+    got = {x.doc_id: (x.text, x.n_chars) for x in cut.collect()}
+    assert {i: t for i, (t, _) in got.items()} == want and all(len(t) == n for t, n in got.values())
+
+    clean = written(stages["decontaminated"](spark, cut, DATA), "t")
+    hits = brute.benchmark_hits(list(want.items()), bench)
+    assert {x.doc_id for x in clean.collect()} == {i for i, _, n, _ in hits if not n}
+
+    out = stages["packed"](spark, clean, DATA).collect()
+    assert sum(p.length for p in out) == sum(len(x) for x in plain_ids([x.text for x in clean.collect()]))
+
+
+def test_pipeline_runs_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int"
+    rows = [(1, None, None, None, None, 1), (None, "the and of that it", None, "s", 3, 1), (3, "", "en", "s", 0, 1), (4, "the and of " * 30, "en", "s", 9, 1), (4, "the and of " * 30, "en", "s", 9, 1)]
+    for k, data in enumerate([rows, []]):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = P.run(spark, folder).collect()
+        assert {x.doc_id for x in out} == ({4} | ({None} if any(x.doc_id is None for x in out) else set()) if data else set())
