@@ -15,8 +15,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcover.functions.graph import BLACK, GRAY, WHITE, partition_1d, partition_2d
+from sparkcover.functions.graph import (
+    BLACK,
+    CHOSEN,
+    GRAY,
+    NOT_CHOSEN,
+    WHITE,
+    partition_1d,
+    partition_2d,
+)
 from sparkcover.operators import neighbors as nb
+from sparkcover.operators.checks import cover_report
 from sparkcover.operators.partition import partition_sizes
 from sparkcover.operators.wordcount import (
     doc_word_count,
@@ -29,7 +38,6 @@ from sparkcover.plans.greedy import greedy_dominating_set, greedy_dominating_set
 from sparkcover.plans.lp import (
     fractional_dominating_set,
     lp_rounded_dominating_set,
-    max_in_degree,
     round_fractional_ds,
 )
 from sparkcover.sources.sinks import result_text_rows
@@ -44,10 +52,11 @@ from sparkcover.sources.text import document_lines
 # Fixed parameters of the registered queries.
 POPULAR_THRESHOLD = 20
 LP_K = 2
-LP_ROUNDED_K = 1
+LP_ROUNDED_K = 3
 DRAW_SEED = 42
 PARTITIONS_1D = 8
 PARTITIONS_2D = 9
+PARTITIONS_2D_NONSQUARE = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +85,22 @@ def customer_nation(spark, sf_dir):
     return bipartite_edges(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")
 
 
+def orders_to_nations(spark, sf_dir):
+    """A directed graph: each order to its customer one way, customers and nations both ways.
+
+    Ids are kept apart modulo 3.
+    """
+    o = table(spark, sf_dir, "orders").where("o_orderkey is not null and o_custkey is not null")
+    c = table(spark, sf_dir, "customer").where("c_custkey is not null and c_nationkey is not null")
+    one_way = o.select(
+        (F.col("o_orderkey").cast("bigint") * 3).alias("src"), (F.col("o_custkey").cast("bigint") * 3 + 1).alias("dst")
+    ).distinct()
+    links = c.select(
+        (F.col("c_custkey").cast("bigint") * 3 + 1).alias("src"), (F.col("c_nationkey").cast("bigint") * 3 + 2).alias("dst")
+    ).distinct()
+    return one_way.union(links).union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def seed_colors(edges: DataFrame) -> DataFrame:
     """A fixed test colouring of the vertices: black, gray or white by id."""
     vid = F.col("id")
@@ -171,19 +196,29 @@ def q_white_neighbor_count(spark, sf_dir):
 
 
 def _spans(g):
-    es = nb.EdgeSet(g)
-    return es, nb.white_neighbor_count(es, seed_colors(g))
+    """One edge set and one held span state: the input is read once for all steps."""
+    es = nb.EdgeSet(g, materialize=True)
+    return es, es.partitioned(nb.white_neighbor_count(es, seed_colors(es.edges))).persist()
+
+
+def _settled(result: DataFrame, es: nb.EdgeSet, *held: DataFrame) -> DataFrame:
+    """The result, written, and everything that was held for it let go."""
+    out = result.checkpoint(eager=True)
+    for frame in held:
+        frame.unpersist(blocking=False)
+    es.release()
+    return out
 
 
 def q_onehop_argmax(spark, sf_dir):
     es, spans = _spans(order_part(spark, sf_dir))
-    return nb.onehop_argmax(es, spans)
+    return _settled(nb.onehop_argmax(es, spans), es, spans)
 
 
 def q_twohop_local_max(spark, sf_dir):
     es, spans = _spans(order_part(spark, sf_dir))
-    best = nb.onehop_argmax(es, spans)
-    return nb.twohop_local_max(es, spans.select("id", "wt").join(best, "id"))
+    best = nb.onehop_argmax(es, spans).persist()
+    return _settled(nb.twohop_local_max(es, spans.select("id", "wt").join(best, "id")), es, best, spans)
 
 
 def q_neighbor_x_sum(spark, sf_dir):
@@ -202,7 +237,9 @@ def q_onehop_max_degree(spark, sf_dir):
 
 
 def q_twohop_max_degree(spark, sf_dir):
-    return nb.twohop_max_degree(order_part(spark, sf_dir))
+    es = nb.EdgeSet(order_part(spark, sf_dir), materialize=True)
+    deg1 = nb.onehop_max_degree(es).persist()
+    return _settled(nb.twohop_max_degree(es, deg1), es, deg1)
 
 
 # ----------------------------------------------------------------------------- covers
@@ -221,33 +258,50 @@ def q_greedy_dominating_set_directed(spark, sf_dir):
     return out.select("id", "color", "halt_step")
 
 
+def q_greedy_dominating_set_mixed(spark, sf_dir):
+    return greedy_dominating_set_directed(orders_to_nations(spark, sf_dir))
+
+
 def _rounded(df):
     return df.select("id", "color", F.round("x", 6).alias("x"))
 
 
 def q_fractional_dominating_set(spark, sf_dir):
-    g = part_supplier(spark, sf_dir)
-    return _rounded(fractional_dominating_set(g, LP_K, max_in_degree(g)))
+    return _rounded(fractional_dominating_set(part_supplier(spark, sf_dir), LP_K))
 
 
 def q_round_fractional_ds(spark, sf_dir):
-    g = part_supplier(spark, sf_dir)
-    es = nb.EdgeSet(g, materialize=True)
-    frac = fractional_dominating_set(es, LP_K, max_in_degree(g))
+    es = nb.EdgeSet(part_supplier(spark, sf_dir), materialize=True)
+    frac = fractional_dominating_set(es, LP_K)
     out = round_fractional_ds(es, frac, DRAW_SEED)  # checkpointed: independent of es
     es.release()
     return _rounded(out)
 
 
 def q_lp_rounded_dominating_set(spark, sf_dir):
-    g = part_supplier(spark, sf_dir)
-    return _rounded(lp_rounded_dominating_set(g, LP_ROUNDED_K, max_in_degree(g), DRAW_SEED))
+    return _rounded(lp_rounded_dominating_set(part_supplier(spark, sf_dir), LP_ROUNDED_K, None, DRAW_SEED))
 
 
 def q_result_text_rows(spark, sf_dir):
     return result_text_rows(greedy_dominating_set(part_supplier(spark, sf_dir)), "halt_step")
 
 
+def q_result_text_rows_lp(spark, sf_dir):
+    out = lp_rounded_dominating_set(part_supplier(spark, sf_dir), LP_ROUNDED_K, None, DRAW_SEED)
+    return result_text_rows(_rounded(out), "x")
+
+
+def q_cover_report(spark, sf_dir):
+    """Size and violations of both covers of the part-supplier graph; one edge set serves all."""
+    es = nb.EdgeSet(part_supplier(spark, sf_dir), materialize=True)
+    greedy = greedy_dominating_set(es)
+    lp = lp_rounded_dominating_set(es, LP_ROUNDED_K, None, DRAW_SEED)
+    report = cover_report(es, greedy, BLACK, [GRAY, BLACK]).select(F.lit("greedy").alias("cover"), "*").union(
+        cover_report(es, lp, CHOSEN, [NOT_CHOSEN, CHOSEN]).select(F.lit("lp").alias("cover"), "*")
+    )
+    return _settled(report, es)
+
+
 # ----------------------------------------------------------------------------- partitioning
 
 
@@ -263,6 +317,13 @@ def q_edge_partition_2d(spark, sf_dir):
     )
 
 
+def q_edge_partition_2d_nonsquare(spark, sf_dir):
+    g = order_part(spark, sf_dir)
+    return g.select(
+        "src", "dst", partition_2d(F.col("src"), F.col("dst"), PARTITIONS_2D_NONSQUARE).alias("pid")
+    )
+
+
 def q_edge_partition_sizes(spark, sf_dir):
     return partition_sizes(order_part(spark, sf_dir), "2d", PARTITIONS_2D)
 
@@ -295,6 +356,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lp_rounded_dominating_set": q_lp_rounded_dominating_set,
     "edge_partition_1d": q_edge_partition_1d,
     "edge_partition_2d": q_edge_partition_2d,
+    "edge_partition_2d_nonsquare": q_edge_partition_2d_nonsquare,
     "edge_partition_sizes": q_edge_partition_sizes,
     "result_text_rows": q_result_text_rows,
+    "result_text_rows_lp": q_result_text_rows_lp,
+    "greedy_dominating_set_mixed": q_greedy_dominating_set_mixed,
+    "cover_report": q_cover_report,
 }

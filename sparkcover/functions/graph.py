@@ -45,14 +45,11 @@ def rank_key(wt: Column, vid: Column, mode: str) -> Column:
     ).cast("decimal(38,0)")
 
 
-def rank_key_type(mode: str) -> str:
-    return "bigint" if mode == "long" else "decimal(38,0)"
-
-
 def rank_key_wt(key: Column, mode: str) -> Column:
+    """The count of a key. Whole-number division only: a double would round large counts."""
     if mode == "long":
-        return F.floor(key / F.lit(_TWO_32)).cast("bigint")
-    return F.floor(key / F.lit(Decimal(_TWO_64))).cast("bigint")
+        return F.shiftright(key, 32)
+    return F.call_function("div", key, F.lit(Decimal(_TWO_64))).cast("bigint")
 
 
 def rank_key_id(key: Column, mode: str) -> Column:
@@ -61,11 +58,14 @@ def rank_key_id(key: Column, mode: str) -> Column:
     return (F.lit(Decimal(_TWO_63 - 1)) - F.pmod(key, F.lit(Decimal(_TWO_64)))).cast("bigint")
 
 
-def rank_mode(min_id: int | None, max_id: int | None, max_degree: int | None = None) -> str:
-    """Pick the cheapest packing that is exact for the id range and degree."""
+def rank_mode(min_id: int | None, max_id: int | None, max_in_degree: int | None = None) -> str:
+    """Pick the cheapest packing that is exact for the id range and the largest in-degree.
+
+    A count is one of in-neighbours with multiplicity, so in-degree bounds it.
+    """
     if min_id is None:
         return "long"
-    if min_id >= 0 and max_id < _TWO_32 and (max_degree or 0) < (1 << 31):
+    if min_id >= 0 and max_id < _TWO_32 and (max_in_degree or 0) < (1 << 31):
         return "long"
     return "decimal"
 

@@ -30,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcover.functions.graph import BLACK, WHITE, rank_key, rank_key_id, rank_key_wt, rank_mode
-from sparkcover.session import broadcast_limit_bytes, ensure_checkpoint_dir, shuffle_partitions
+from sparkcover.plans.loop import checkpointed
+from sparkcover.session import broadcast_limit_bytes, drop_path, shuffle_partitions
 
 # Estimated bytes per broadcast state row: UnsafeRow header + 8 bytes per field.
 _ROW_OVERHEAD = 16
-_FIELD_BYTES = 16
+_FIELD_BYTES = 24  # a slot, and 16 bytes more for a wide decimal
 
 
 @dataclass
@@ -44,20 +45,24 @@ class GraphStats:
     min_id: int | None
     max_id: int | None
     max_out_degree: int
+    max_in_degree: int
 
 
 def graph_stats(edges: DataFrame) -> GraphStats:
-    """Vertex and edge counts, id range and max out-degree in one small job."""
+    """Vertex and edge counts, id range and largest degrees in one small job."""
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("e")).union(
         edges.select(F.col("dst").alias("id"), F.lit(0).alias("e"))
     )
-    per_vertex = ends.groupBy("id").agg(F.sum("e").alias("out"))
+    per_vertex = ends.groupBy("id").agg(
+        F.sum("e").alias("out"), (F.count(F.lit(1)) - F.sum("e")).alias("inn")
+    )
     row = per_vertex.agg(
         F.count(F.lit(1)).alias("nv"),
         F.sum("out").alias("ne"),
         F.min("id").alias("lo"),
         F.max("id").alias("hi"),
         F.max("out").alias("dmax"),
+        F.max("inn").alias("imax"),
     ).first()
     return GraphStats(
         n_vertices=int(row["nv"] or 0),
@@ -65,6 +70,7 @@ def graph_stats(edges: DataFrame) -> GraphStats:
         min_id=None if row["lo"] is None else int(row["lo"]),
         max_id=None if row["hi"] is None else int(row["hi"]),
         max_out_degree=int(row["dmax"] or 0),
+        max_in_degree=int(row["imax"] or 0),
     )
 
 
@@ -80,24 +86,24 @@ class EdgeSet:
         broadcast_bytes: int | None = None,
         hot_degree: int | None = None,
     ):
+        """``hot_degree`` below ``n_edges / shuffle_partitions`` is raised to it: the hot
+        ids are broadcast, and only that bound proves that they are few."""
         self.spark = edges.sparkSession
         edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+        self._folder: str | None = None
         if materialize:
-            ensure_checkpoint_dir(self.spark)
-            edges = edges.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+            edges, self._folder = checkpointed(edges)
+            edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
         self.edges = edges
         self.stats = stats if stats is not None else graph_stats(edges)
-        self.mode = rank_mode(self.stats.min_id, self.stats.max_id, self.stats.max_out_degree)
+        self.mode = rank_mode(self.stats.min_id, self.stats.max_id, self.stats.max_in_degree)
         self.broadcast_bytes = (
             broadcast_limit_bytes(self.spark) if broadcast_bytes is None else broadcast_bytes
         )
         n_parts = shuffle_partitions(self.spark)
-        self.hot_degree = (
-            hot_degree
-            if hot_degree is not None
-            else max(1, -(-self.stats.n_edges // max(1, n_parts)))
-        )
+        self.hot_degree = max(1, -(-self.stats.n_edges // max(1, n_parts)), hot_degree or 0)
         self._split: tuple[DataFrame, DataFrame, DataFrame] | None = None
+        self._by_dst: DataFrame | None = None
         self._owned: list[DataFrame] = [edges] if materialize else []
 
     # ------------------------------------------------------------------ plumbing
@@ -129,6 +135,21 @@ class EdgeSet:
             self._owned.extend(self._split)
         return self._split
 
+    def partitioned(self, state: DataFrame) -> DataFrame:
+        """A vertex state laid out by ``id`` as the prepared edges are: steps then move messages only."""
+        return state.repartition(shuffle_partitions(self.spark), "id")
+
+    def _edges_by_dst(self) -> DataFrame | None:
+        """Prepared edges hash-partitioned by ``dst``, unless one ``dst`` would burden a task."""
+        if not self._folder or self.stats.max_in_degree > max(4 * self.hot_degree, 1_000_000):
+            return None
+        if self._by_dst is None:
+            self._by_dst = self.edges.repartition(shuffle_partitions(self.spark), "dst").persist(
+                StorageLevel.MEMORY_AND_DISK
+            )
+            self._owned.append(self._by_dst)
+        return self._by_dst
+
     def send(
         self,
         state: DataFrame,
@@ -144,11 +165,14 @@ class EdgeSet:
         src_state = state if where is None else state.where(where)
         src_state = src_state.select(F.col("id").alias("src"), *cols)
         if self.state_fits_broadcast(len(cols), n_rows):
-            return self.edges.join(F.broadcast(src_state), "src").select("dst", *cols)
+            by_dst = self._edges_by_dst()
+            edges = self.edges if by_dst is None else by_dst
+            return edges.join(F.broadcast(src_state), "src").select("dst", *cols)
         hot, hot_edges, cold_edges = self._hot_cold()
         hot_state = src_state.join(F.broadcast(hot), "src", "left_semi")
         from_hot = hot_edges.join(F.broadcast(hot_state), "src").select("dst", *cols)
-        from_cold = cold_edges.join(src_state, "src").select("dst", *cols)
+        # a hash table of a partition's states: the cached edges need no sort
+        from_cold = cold_edges.join(src_state.hint("shuffle_hash"), "src").select("dst", *cols)
         return from_hot.unionByName(from_cold)
 
     def aggregate(
@@ -163,14 +187,28 @@ class EdgeSet:
         msgs = self.send(state, cols, where, n_rows)
         return msgs.groupBy(F.col("dst").alias("id")).agg(*aggs)
 
+    def join_back(self, state: DataFrame, got: DataFrame) -> DataFrame:
+        """``state`` with what ``aggregate`` reduced for its vertices (left join on ``id``)."""
+        return state.join(got.hint("shuffle_hash"), "id", "left")
+
     def restrict(self, live: DataFrame, n_live: int) -> "EdgeSet":
         """Edges whose two endpoints are both in ``live`` (``id``), checkpointed."""
-        ids = live.select("id")
-        if self.state_fits_broadcast(0, n_live):
-            ids = F.broadcast(ids)
-        kept = self.edges.join(
-            ids.withColumnRenamed("id", "src"), "src", "left_semi"
-        ).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        kept = self.edges
+        for end in ("src", "dst"):
+            ids = live.select(F.col("id").alias(end))
+            if self.state_fits_broadcast(0, n_live):
+                kept = kept.join(F.broadcast(ids), end, "left_semi")
+                continue
+            # an end with more edges than a fair task's share meets its (few) live ids
+            # where its edges lie; only the other edges are shuffled
+            hot = (
+                self.edges.groupBy(end).agg(F.count(F.lit(1)).alias("deg"))
+                .where(F.col("deg") > F.lit(self.hot_degree)).select(end)
+            )
+            hot_live = ids.join(F.broadcast(hot), end, "left_semi")
+            kept = kept.join(F.broadcast(hot), end, "left_semi").join(
+                F.broadcast(hot_live), end, "left_semi"
+            ).unionByName(kept.join(F.broadcast(hot), end, "left_anti").join(ids, end, "left_semi"))
         out = EdgeSet(
             kept.select("src", "dst"),
             GraphStats(
@@ -179,6 +217,7 @@ class EdgeSet:
                 min_id=self.stats.min_id,
                 max_id=self.stats.max_id,
                 max_out_degree=self.stats.max_out_degree,
+                max_in_degree=self.stats.max_in_degree,
             ),
             materialize=True,
             broadcast_bytes=self.broadcast_bytes,
@@ -193,7 +232,10 @@ class EdgeSet:
         for frame in self._owned:
             frame.unpersist(blocking=False)
         self._owned = []
-        self._split = None
+        self._split = self._by_dst = None
+        if self._folder:
+            drop_path(self.spark, self._folder)
+            self._folder = None
 
 
 # ---------------------------------------------------------------------------- aggregates

@@ -1,9 +1,10 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
-Written from the operator semantics, not from the Spark code: iterative covers
-are unrolled into chains of materialized CTEs (enough rounds to reach the fixed
-point; extra rounds change nothing because halted vertices neither send nor
-change), per-vertex maxima use row values, partition ids use HUGEINT.
+Written from the operator semantics, not from the Spark code: the greedy covers are
+recursive CTEs that run until no vertex is live (or, for the directed program, until
+no message is sent), the fractional passes are a chain of materialized CTEs with its
+own schedule, per-vertex maxima use row values, partition ids use HUGEINT. Nothing is
+imported from the code under test but the parameters of the registered queries.
 """
 
 from __future__ import annotations
@@ -16,14 +17,12 @@ from sparkcover.catalog import (
     LP_ROUNDED_K,
     PARTITIONS_1D,
     PARTITIONS_2D,
+    PARTITIONS_2D_NONSQUARE,
     POPULAR_THRESHOLD,
 )
-from sparkcover.functions.graph import MIXING_PRIME
-from sparkcover.plans.lp import lp_schedule
 
-# Rounds unrolled for the greedy oracle. The greedy cover of the part-supplier
-# graph needs 19 rounds at sf0.01; more rounds are a no-op once all vertices halt.
-GREEDY_ORACLE_ROUNDS = 40
+# Fixed value: the odd 64-bit constant that scrambles ids in the partition strategies.
+MIXING_PRIME = 1125899906842597
 
 
 def _bipartite(a: str, b: str) -> str:
@@ -108,51 +107,87 @@ def _pid_2d(n: int) -> str:
     )
 
 
-def greedy_sql(graph: str, rounds: int) -> str:
-    """Unrolled compact greedy cover: (id, color, halt_step)."""
-    ctes = [
-        graph,
-        "s0 AS MATERIALIZED (SELECT DISTINCT src AS id, -3 AS color, "
-        "CAST(NULL AS INTEGER) AS halt_step FROM g)",
-    ]
-    for r in range(rounds):
-        if r == 0:
-            ctes.append(f"a{r} AS (SELECT id, color, halt_step FROM s{r})")
-        else:
-            ctes.append(
-                f"a{r} AS MATERIALIZED (SELECT s.id, CASE WHEN s.halt_step IS NULL AND s.color <> -5 "
-                f"AND coalesce(m.b, false) THEN -4 ELSE s.color END AS color, s.halt_step "
-                f"FROM s{r} s LEFT JOIN (SELECT g.dst AS id, bool_or(t.color = -5) AS b FROM g "
-                f"JOIN s{r} t ON g.src = t.id WHERE t.halt_step IS NULL GROUP BY g.dst) m "
-                f"ON s.id = m.id)"
-            )
-        ctes.append(
-            f"b{r} AS MATERIALIZED (SELECT s.id, s.color, s.halt_step, coalesce(m.w, 0) AS wt, "
-            f"(s.color = -5 OR (s.color = -4 AND coalesce(m.w, 0) = 0)) AS off FROM a{r} s "
-            f"LEFT JOIN (SELECT g.dst AS id, count(*) FILTER (WHERE t.color = -3) AS w FROM g "
-            f"JOIN a{r} t ON g.src = t.id WHERE t.halt_step IS NULL GROUP BY g.dst) m "
-            f"ON s.id = m.id)"
-        )
-        ctes.append(
-            f"c{r} AS MATERIALIZED (SELECT s.id, s.color, s.wt, CASE WHEN s.halt_step IS NULL "
-            f"AND m.kb IS NULL THEN {4 * r + 3} ELSE s.halt_step END AS halt_step, "
-            f"greatest(row(s.wt, -s.id), coalesce(m.kb, row(s.wt, -s.id))) AS best FROM b{r} s "
-            f"LEFT JOIN (SELECT g.dst AS id, max(row(t.wt, -t.id)) AS kb FROM g JOIN b{r} t "
-            f"ON g.src = t.id WHERE t.halt_step IS NULL AND NOT t.off GROUP BY g.dst) m "
-            f"ON s.id = m.id)"
-        )
-        ctes.append(
-            f"s{r + 1} AS MATERIALIZED (SELECT s.id, CASE WHEN s.halt_step IS NULL AND s.color <> -5 "
-            f"AND (m.mb IS NULL OR m.mb <= row(s.wt, -s.id)) THEN -5 ELSE s.color END AS color, "
-            f"s.halt_step FROM c{r} s LEFT JOIN (SELECT g.dst AS id, max(t.best) AS mb FROM g "
-            f"JOIN c{r} t ON g.src = t.id WHERE t.halt_step IS NULL GROUP BY g.dst) m "
-            f"ON s.id = m.id)"
-        )
-    ctes.append(
-        f"greedy AS (SELECT id, CAST(color AS INTEGER) AS color, "
-        f"CAST(halt_step AS INTEGER) AS halt_step FROM s{rounds})"
+def greedy_sql(graph: str) -> str:
+    """Greedy cover by rounds until no vertex is live: CTE ``greedy(id, color, halt_step)``.
+
+    A round on the state ``s``: recolour, span, one-hop best and halting, select. In
+    round 0 nothing is black, so recolouring changes nothing.
+    """
+    step = (
+        "a AS (SELECT s.r, s.id, CASE WHEN s.halt_step IS NULL AND s.color <> -5 "
+        "AND coalesce(m.b, false) THEN -4 ELSE s.color END AS color, s.halt_step "
+        "FROM s LEFT JOIN (SELECT g.dst AS id, bool_or(t.color = -5) AS b FROM g "
+        "JOIN s t ON g.src = t.id WHERE t.halt_step IS NULL GROUP BY g.dst) m ON s.id = m.id), "
+        "b AS (SELECT s.r, s.id, s.color, s.halt_step, coalesce(m.w, 0) AS wt, "
+        "(s.color = -5 OR (s.color = -4 AND coalesce(m.w, 0) = 0)) AS off FROM a s "
+        "LEFT JOIN (SELECT g.dst AS id, count(*) FILTER (WHERE t.color = -3) AS w FROM g "
+        "JOIN a t ON g.src = t.id WHERE t.halt_step IS NULL GROUP BY g.dst) m ON s.id = m.id), "
+        "c AS (SELECT s.r, s.id, s.color, s.wt, CASE WHEN s.halt_step IS NULL "
+        "AND m.kb IS NULL THEN 4 * s.r + 3 ELSE s.halt_step END AS halt_step, "
+        "greatest(row(s.wt, -s.id), coalesce(m.kb, row(s.wt, -s.id))) AS best FROM b s "
+        "LEFT JOIN (SELECT g.dst AS id, max(row(t.wt, -t.id)) AS kb FROM g JOIN b t "
+        "ON g.src = t.id WHERE t.halt_step IS NULL AND NOT t.off GROUP BY g.dst) m ON s.id = m.id) "
+        "SELECT s.r + 1, s.id, CAST(CASE WHEN s.halt_step IS NULL AND s.color <> -5 "
+        "AND (m.mb IS NULL OR m.mb <= row(s.wt, -s.id)) THEN -5 ELSE s.color END AS INTEGER), "
+        "CAST(s.halt_step AS INTEGER) FROM c s LEFT JOIN (SELECT g.dst AS id, max(t.best) AS mb FROM g "
+        "JOIN c t ON g.src = t.id WHERE t.halt_step IS NULL GROUP BY g.dst) m ON s.id = m.id "
+        "WHERE EXISTS (SELECT 1 FROM s WHERE halt_step IS NULL)"
+    )
+    graph = graph.replace("fwd AS (", "fwd AS MATERIALIZED (").replace("g AS (", "g AS MATERIALIZED (")
+    return (
+        f"WITH RECURSIVE {graph}, s(r, id, color, halt_step) AS (SELECT DISTINCT 0, src, CAST(-3 AS INTEGER), "
+        f"CAST(NULL AS INTEGER) FROM g UNION ALL (WITH {step})), "
+        "greedy AS (SELECT id, color, halt_step FROM s WHERE r = (SELECT max(r) FROM s))"
+    )
+
+
+def superstep_sql(graph: str) -> str:
+    """The vertex program superstep by superstep, for any directed multigraph that stops.
+
+    State after the first superstep: every vertex has sent ``(own id, white)``. A vertex
+    that gets messages runs its phase (step mod 4): recolour, count whites, one-hop best
+    or halt (step -1), select; only vertices that got messages send the next time. CTE
+    ``program(id, color, value, halt_step, converged)``.
+    """
+    got = (
+        "got AS (SELECT g.dst AS id, count(*) AS n, bool_or(t.mval = -5) AS any_black, "
+        "count(*) FILTER (WHERE t.mval = -3) AS whites, count(*) FILTER (WHERE t.mval <> -1) AS acting, "
+        "max(row(t.mval, -t.mid)) FILTER (WHERE t.mval >= 0) AS best FROM g JOIN s t ON g.src = t.id "
+        "WHERE t.active AND t.step >= 0 GROUP BY g.dst)"
+    )
+    moved = (
+        "moved AS (SELECT s.*, m.n IS NOT NULL AS heard, m.n IS NOT NULL AND s.step >= 0 AS runs, s.step % 4 AS ph, "
+        "m.whites, m.acting, CASE WHEN s.color <> -5 AND m.any_black THEN -4 ELSE s.color END AS recoloured, "
+        "greatest(row(CAST(s.wt AS BIGINT), -s.id), coalesce(m.best, row(CAST(s.wt AS BIGINT), -s.id))) AS top, "
+        "CASE WHEN s.color <> -5 AND NOT coalesce(m.best > row(CAST(s.wt AS BIGINT), -s.id), false) THEN -5 "
+        "ELSE s.color END AS picked FROM s LEFT JOIN got m ON s.id = m.id)"
+    )
+    step = (
+        "SELECT it + 1, id, CAST(CASE WHEN NOT runs THEN step WHEN ph = 2 AND acting = 0 THEN -1 ELSE step + 1 END AS INTEGER), "
+        "CAST(CASE WHEN NOT runs THEN color WHEN ph = 0 THEN recoloured WHEN ph = 3 THEN picked ELSE color END AS INTEGER), "
+        "CAST(CASE WHEN NOT runs THEN wt WHEN ph = 1 THEN whites WHEN ph = 2 AND acting = 0 THEN step + 1 ELSE wt END AS INTEGER), "
+        "CAST(CASE WHEN NOT runs THEN mid WHEN ph = 2 THEN -top[2] ELSE id END AS BIGINT), "
+        "CAST(CASE WHEN NOT runs THEN mval WHEN ph = 0 THEN recoloured WHEN ph = 1 THEN "
+        "CASE WHEN color = -5 OR (color = -4 AND whites = 0) THEN -1 ELSE whites END "
+        "WHEN ph = 2 THEN top[1] ELSE picked END AS BIGINT), heard FROM moved WHERE EXISTS (SELECT 1 FROM got)"
+    )
+    return (
+        f"WITH RECURSIVE {graph}, s(it, id, step, color, wt, mid, mval, active) AS ("
+        "SELECT 0, id, CAST(1 AS INTEGER), CAST(-3 AS INTEGER), CAST(0 AS INTEGER), CAST(id AS BIGINT), "
+        "CAST(-3 AS BIGINT), true FROM (SELECT src AS id FROM g UNION SELECT dst FROM g) "
+        f"UNION ALL (WITH {got}, {moved} {step})), "
+        "program AS (SELECT id, color, wt AS value, CASE WHEN step < 0 THEN wt END AS halt_step, "
+        "true AS converged FROM s WHERE it = (SELECT max(it) FROM s))"
     )
-    return "WITH " + ", ".join(ctes)
+
+
+ORDERS_TO_NATIONS = (
+    "one_way AS (SELECT DISTINCT 3 * o_orderkey AS src, 3 * o_custkey + 1 AS dst FROM orders "
+    "WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL), "
+    "links AS (SELECT DISTINCT 3 * c_custkey + 1 AS src, 3 * CAST(c_nationkey AS BIGINT) + 2 AS dst FROM customer "
+    "WHERE c_custkey IS NOT NULL AND c_nationkey IS NOT NULL), "
+    "g AS MATERIALIZED (SELECT src, dst FROM one_way UNION ALL SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links)"
+)
 
 
 def lp_sql(graph: str, k: int) -> list[str]:
@@ -171,7 +206,8 @@ def lp_sql(graph: str, k: int) -> list[str]:
     def lvl(j):
         return f"(SELECT lv{j} FROM lv)"
 
-    for i, (l, m) in enumerate(lp_schedule(k)):
+    passes = [(l, m) for l in reversed(range(k)) for m in reversed(range(k))]
+    for i, (l, m) in enumerate(passes):
         ctes.append(
             f"o{i} AS MATERIALIZED (SELECT s.id, s.color, CASE WHEN coalesce(m.nw, 0) >= "
             f"(SELECT th{l} FROM lv) THEN greatest(s.x, {lvl(m)}) ELSE s.x END AS x "
@@ -283,13 +319,16 @@ def oracle_sql() -> dict[str, str]:
         "AS deg2 FROM deg1 d LEFT JOIN (SELECT g.dst AS id, max(t.deg1) AS m FROM g "
         "JOIN deg1 t ON g.src = t.id GROUP BY g.dst) m ON d.id = m.id"
     )
-    greedy = greedy_sql(PART_SUPPLIER, GREEDY_ORACLE_ROUNDS)
+    greedy = greedy_sql(PART_SUPPLIER)
     q["greedy_dominating_set"] = f"{greedy} SELECT id, color, halt_step FROM greedy"
     for key, graph in (
         ("greedy_dominating_set_orders", ORDER_CUSTOMER),
         ("greedy_dominating_set_directed", CUSTOMER_NATION),
     ):
-        q[key] = f"{greedy_sql(graph, 8)} SELECT id, color, halt_step FROM greedy"
+        q[key] = f"{greedy_sql(graph)} SELECT id, color, halt_step FROM greedy"
+    q["greedy_dominating_set_mixed"] = (
+        f"{superstep_sql(ORDERS_TO_NATIONS)} SELECT id, color, value, halt_step, converged FROM program"
+    )
     q["result_text_rows"] = (
         f"{greedy} SELECT CAST(id AS VARCHAR) || chr(9) || '(' || CAST(color AS VARCHAR) || ',' "
         "|| CAST(halt_step AS VARCHAR) || ')' AS line FROM greedy"
@@ -304,11 +343,31 @@ def oracle_sql() -> dict[str, str]:
     q["lp_rounded_dominating_set"] = (
         f"WITH {frac1}, {rnd} SELECT id, color, round(x, 6) AS x FROM rounded"
     )
+    q["result_text_rows_lp"] = (
+        f"WITH {frac1}, {rnd} SELECT CAST(id AS VARCHAR) || chr(9) || '(' || CAST(color AS VARCHAR) || ',' "
+        "|| CAST(round(x, 6) AS VARCHAR) || ')' AS line FROM rounded"
+    )
+
+    def report(cover: str, name: str, chosen: int, other: int) -> str:
+        return (
+            f"SELECT '{name}' AS cover, count(*) AS n_vertices, count(*) FILTER (WHERE color = {chosen}) AS n_chosen, "
+            f"count(*) FILTER (WHERE color <> {chosen} AND NOT EXISTS (SELECT 1 FROM g JOIN {cover} t ON g.src = t.id "
+            f"WHERE g.dst = c.id AND t.color = {chosen})) AS n_undominated, "
+            f"count(*) FILTER (WHERE color NOT IN ({chosen}, {other})) AS n_bad_color FROM {cover} c"
+        )
+
+    lp_only = ", ".join(lp_sql(PART_SUPPLIER, LP_ROUNDED_K)[1:])  # the graph is there already
+    q["cover_report"] = (
+        f"{greedy}, {lp_only}, {rnd} {report('greedy', 'greedy', -5, -4)} UNION ALL {report('rounded', 'lp', 2, 0)}"
+    )
     q["edge_partition_1d"] = (
         f"{op} SELECT src, dst, CAST({_wrapped_abs('src')} % {PARTITIONS_1D} AS INTEGER) AS pid "
         "FROM g"
     )
     q["edge_partition_2d"] = f"{op} SELECT src, dst, {_pid_2d(PARTITIONS_2D)} AS pid FROM g"
+    q["edge_partition_2d_nonsquare"] = (
+        f"{op} SELECT src, dst, {_pid_2d(PARTITIONS_2D_NONSQUARE)} AS pid FROM g"
+    )
     q["edge_partition_sizes"] = (
         f"{op} SELECT {_pid_2d(PARTITIONS_2D)} AS pid, count(*) AS n_edges FROM g GROUP BY 1"
     )

@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkcover.operators.neighbors import EdgeSet
 from sparkcover.operators.partition import partition_edges
-from sparkcover.plans.greedy import greedy_dominating_set
+from sparkcover.plans.greedy import (
+    check_symmetric_simple,
+    greedy_dominating_set,
+    greedy_dominating_set_directed,
+)
 from sparkcover.plans.lp import lp_rounded_dominating_set
-from sparkcover.sources.edges import graph_size, read_edge_list
+from sparkcover.sources.edges import read_edge_list
 from sparkcover.sources.sinks import write_result_text
 
-TASKS = ("dominatingset", "intprog")
+TASKS = ("greedy_cover", "lp_cover")
 # Partition strategy codes of the LP task (0 none, 1 = 1D, 2 = 2D).
 PART_STRATEGIES = {0: "none", 1: "1d", 2: "2d"}
 
@@ -38,47 +42,56 @@ def run_task(
 ) -> DataFrame:
     """Run one graph task on the edge list at ``path``; returns the result DataFrame.
 
-    * ``dominatingset``: edges placed with the 2D strategy, greedy cover to
-      convergence; result ``(id, color, halt_step)``.
-    * ``intprog``: needs ``k``, ``delta`` and ``part_strat`` (0 none, 1 1D, 2 2D);
-      fractional cover then rounding; result ``(id, color, x)``.
+    * ``greedy_cover``: edges placed with the 2D strategy, greedy cover; any edge list.
+      A symmetric simple one is run to convergence by rounds, result ``(id, color,
+      halt_step)``; a one-way, repeated or looped one by the superstep-exact program,
+      result ``(id, color, value, halt_step, converged)``.
+    * ``lp_cover``: needs ``k``, ``delta`` and ``part_strat`` (0 none, 1 1D, 2 2D) and a
+      symmetric simple edge list; fractional cover then rounding; result ``(id, color, x)``.
 
     ``num_partitions`` is required for both, as the edge partition count.
-    With ``output`` the result is also written as text rows ``id<TAB>(color,second)``.
-    ``report`` (a dict) receives the graph size and the algorithm's wall time.
+    With ``output`` the result is also written as text rows ``id<TAB>(color,second)``;
+    an existing folder there is an error. ``report`` (a dict) receives the graph size,
+    the path taken (``rounds`` or ``supersteps``), ``converged`` and the algorithm's wall time.
     """
     if task not in TASKS:
         raise ValueError(f"Invalid task type: {task!r} (expected one of {TASKS})")
     if num_partitions is None:
         raise ValueError("num_partitions is required (number of edge partitions)")
-    if task == "intprog":
+    if task == "lp_cover":
         missing = [n for n, v in (("delta", delta), ("k", k), ("part_strat", part_strat)) if v is None]
         if missing:
-            raise ValueError(f"intprog needs {', '.join(missing)}")
+            raise ValueError(f"lp_cover needs {', '.join(missing)}")
         if part_strat not in PART_STRATEGIES:
             raise ValueError("part_strat must be 0 (none), 1 (1D) or 2 (2D)")
         strategy = PART_STRATEGIES[part_strat]
     else:
         strategy = "2d"
-    edges = read_edge_list(spark, path, num_partitions)
-    placed = partition_edges(edges, strategy, int(num_partitions))
+    facts: dict = {}
+    placed = partition_edges(read_edge_list(spark, path), strategy, int(num_partitions))
     es = EdgeSet(placed, materialize=True)
-    if report is not None:
-        size = graph_size(es.edges).first()
-        report["n_vertices"] = size["n_vertices"]
-        report["n_edges"] = size["n_edges"]
-    t0 = time.time()
-    if task == "dominatingset":
-        stats: dict = {}
-        result = greedy_dominating_set(es, stats_out=stats)
+    try:
+        facts |= {"n_vertices": es.stats.n_vertices, "n_edges": es.stats.n_edges}
+        t0 = time.time()
         second = "halt_step"
-        if report is not None:
-            report["rounds"] = stats["rounds"]
-    else:
-        result = lp_rounded_dominating_set(es, int(k), int(delta), seed)
-        second = "x"
+        stats: dict = {}
+        if task == "lp_cover":
+            result = lp_rounded_dominating_set(es, int(k), int(delta), seed)
+            second = "x"
+        else:
+            check = check_symmetric_simple(es.edges)
+            if check["bad_pairs"] or check["loops"]:
+                result = greedy_dominating_set_directed(es, stats_out=stats)
+                facts |= {"path": "supersteps", "converged": stats["converged"], "iterations": stats["iterations"]}
+                second = "value"
+            else:
+                result = greedy_dominating_set(es, validate=False, stats_out=stats)
+                facts |= {"path": "rounds", "converged": True, "rounds": stats["rounds"]}
+        facts["seconds"] = round(time.time() - t0, 3)
+    finally:
+        es.release()
     if report is not None:
-        report["seconds"] = round(time.time() - t0, 3)
+        report.update(facts)
     if output:
         write_result_text(result, output, second)
     return result

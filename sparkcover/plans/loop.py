@@ -8,22 +8,50 @@ all earlier rounds. ``StateKeeper`` keeps the loop bounded:
 * every ``checkpoint_every`` rounds it is written with ``DataFrame.checkpoint()``
   to the shared ``spark.checkpoint.dir`` (never a local checkpoint, so the loss
   of an executor only costs a re-read, never the state);
-* the frames of the previous round are unpersisted once the new one exists.
+* the frames of the previous round are unpersisted, and its checkpoint deleted, once
+  the new one exists: storage holds one round's state however many rounds there are.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from sparkcover.session import ensure_checkpoint_dir
+from sparkcover.session import drop_path, ensure_checkpoint_dir
+
+
+@contextmanager
+def static_plans(spark):
+    """Plan the loop's steps without runtime re-planning, and restore the setting after.
+
+    The loops keep states and edges hash-partitioned alike from step to step; adaptive
+    execution would coalesce partitions differently each time and shuffle them again.
+    """
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def checkpointed(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df.checkpoint()`` and the folder it was written to."""
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    return out, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
 
 
 class StateKeeper:
     def __init__(self, spark, checkpoint_every: int = 1):
-        ensure_checkpoint_dir(spark)
+        self.spark = spark
         self.checkpoint_every = max(1, int(checkpoint_every))
         self._held: list[DataFrame] = []
+        self._old: list[DataFrame] = []
+        self._folder: str | None = None
         self._round = 0
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -32,22 +60,40 @@ class StateKeeper:
         self._held.append(df)
         return df
 
-    def settle(self, df: DataFrame, force: bool = False) -> DataFrame:
-        """End a round: checkpoint (or persist) the new state and drop the old frames."""
+    def settle(self, df: DataFrame, force: bool = False, count: bool = True) -> DataFrame:
+        """End a round: checkpoint (or persist) the new state and drop the old frames.
+
+        With ``count=False`` the caller's own next action fills the cache; it calls
+        ``drop_old`` after that.
+        """
         self._round += 1
-        old = self._held
+        self._old = self._held
         self._held = []
         if force or self._round % self.checkpoint_every == 0:
-            out = df.checkpoint(eager=True)
+            out, folder = checkpointed(df)
             out = self.hold(out)
+            if self._folder:
+                drop_path(self.spark, self._folder)
+            self._folder = folder
         else:
             out = self.hold(df)
+            if not count:
+                return out
             out.count()
-        for frame in old:
-            frame.unpersist(blocking=False)
+        self.drop_old()
         return out
 
+    def drop_old(self) -> None:
+        for frame in self._old:
+            frame.unpersist(blocking=False)
+        self._old = []
+
     def release(self) -> None:
+        """Let go of all frames and the last checkpoint; nothing may be read from them after."""
+        self.drop_old()
         for frame in self._held:
             frame.unpersist(blocking=False)
         self._held = []
+        if self._folder:
+            drop_path(self.spark, self._folder)
+            self._folder = None

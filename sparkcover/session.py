@@ -9,7 +9,11 @@ when it is unset *and* the master is local (tests, laptops).
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if configured:
+        if configured.startswith("file:") and not sc.master.startswith("local"):
+            warnings.warn(
+                f"spark.checkpoint.dir is {configured}: on a cluster this must be a shared mount, "
+                "or state is lost with the machine that wrote it",
+                stacklevel=2,
+            )
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
@@ -59,19 +69,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set: point it at a shared folder "
             "(hdfs://, s3a://, ...) before running iterative graph jobs"
         )
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkcover-ckpt-"))
+    folder = tempfile.mkdtemp(prefix="sparkcover-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own under the checkpoint folder, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+def parse_bytes(text: str) -> int:
+    """A Spark size string (``10485760``, ``64MB``, ``100m``, ``1g``, ``-1``) in bytes."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([bkmgtp]?)(?:i?b)?\s*", str(text).lower())
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m[1]) * _UNITS[m[2]]
+
+
 def broadcast_limit_bytes(spark: SparkSession, default: int = 10 * 1024 * 1024) -> int:
     """Byte budget for an explicit broadcast; follows autoBroadcastJoinThreshold."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(default))
-    try:
-        value = int(str(raw).lower().rstrip("b"))
-    except ValueError:
-        value = default
-    return value if value > 0 else 0
+    return max(0, parse_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(default))))

@@ -40,14 +40,12 @@ def parse_edge_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 def read_edge_list(spark: SparkSession, path: str, num_partitions: int | None = None) -> DataFrame:
     """Read an edge-list text file (or folder) into ``(src, dst)``.
 
-    ``num_partitions`` asks for a minimum number of input partitions, like the
-    edge partition count of a graph loader; the scan is split, not shuffled, when
-    the files allow it.
+    The scan is split by Spark's own settings (``spark.sql.files.maxPartitionBytes``,
+    ``spark.sql.files.minPartitionNum``); text is never shuffled. ``num_partitions``
+    deals the parsed pairs of numbers to that many partitions.
     """
-    df = spark.read.text(path)
-    if num_partitions and df.rdd.getNumPartitions() < num_partitions:
-        df = df.repartition(int(num_partitions))
-    return parse_edge_lines(df)
+    edges = parse_edge_lines(spark.read.text(path))
+    return edges.repartition(int(num_partitions)) if num_partitions else edges
 
 
 def vertices_from_edges(edges: DataFrame) -> DataFrame:

@@ -1,65 +1,78 @@
-"""Brute-force single-process simulation of the vertex programs, for tests only.
+"""Plain single-process run of the greedy vertex program, for tests only.
 
-Superstep by superstep, with list messages concatenated per receiver and the
-active-set rule (after the first superstep only vertices that received messages
-send), exactly as the reference's program is specified.
+One function per phase; messages are ``(sender id, value)`` pairs. After the first
+superstep only vertices that got messages in the step before send.
 """
 
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
 WHITE, GRAY, BLACK = -3, -4, -5
 
 
-def _greedy_vprog(vid, attr, msg):
-    step, color, nn, _ = attr
-    if step < 0:
-        return attr
-    pairs = [(msg[2 * i], msg[2 * i + 1]) for i in range(len(msg) // 2)]
-    phase = step % 4
-    if phase == 0:
-        if pairs and color != BLACK and any(v == BLACK for _, v in pairs):
-            color = GRAY
-        return (step + 1, color, nn, [vid, color])
-    if phase == 1:
-        wt = sum(1 for _, v in pairs if v == WHITE)
-        off = color == BLACK or (color == GRAY and wt == 0)
-        return (step + 1, color, wt, [vid, -1 if off else wt])
-    if phase == 2:
-        best = (nn, -vid)
-        count = 0
-        for mid, v in pairs:
-            if v != -1:
-                best = max(best, (v, -mid))
-                count += 1
-        out = [-best[1], best[0]]
-        if count == 0:
-            return (-1, color, step + 1, out)
-        return (step + 1, color, nn, out)
-    if color != BLACK and not any((v, -mid) > (nn, -vid) for mid, v in pairs):
-        color = BLACK
-    return (step + 1, color, nn, [vid, color])
+@dataclass
+class Vertex:
+    id: int
+    color: int = WHITE
+    value: int = 0
+    step: int = 1
+    out: tuple[int, int] = field(default=(0, WHITE))
+
+    @property
+    def halted(self) -> bool:
+        return self.step < 0
+
+
+def recolour(v: Vertex, got):
+    if v.color != BLACK and any(value == BLACK for _, value in got):
+        v.color = GRAY
+    v.out = (v.id, v.color)
+
+
+def span(v: Vertex, got):
+    v.value = sum(value == WHITE for _, value in got)
+    covered = v.color == BLACK or (v.color == GRAY and v.value == 0)
+    v.out = (v.id, -1 if covered else v.value)
+
+
+def best_of_neighbours(v: Vertex, got):
+    acting = [(value, -sender) for sender, value in got if value != -1]
+    count, sender = max([(v.value, -v.id), *acting])
+    v.out = (-sender, count)
+    if not acting:
+        v.value, v.step = v.step + 1, -2  # halts; the step goes on to -1
+
+
+def select(v: Vertex, got):
+    if v.color != BLACK and all((value, -sender) <= (v.value, -v.id) for sender, value in got):
+        v.color = BLACK
+    v.out = (v.id, v.color)
+
+
+PHASES = (recolour, span, best_of_neighbours, select)
 
 
 def simulate_greedy(edges, max_iter=2000):
-    """Returns ({id: (color, second)}, iterations, stopped_by_cap)."""
-    verts = sorted({s for s, _ in edges} | {d for _, d in edges})
-    attr = {v: _greedy_vprog(v, (0, WHITE, 0, []), []) for v in verts}
+    """({id: (color, value)}, iterations, stopped by the cap)."""
+    vertices = {i: Vertex(i, out=(i, WHITE)) for edge in edges for i in edge}
 
-    def send(active):
-        msgs = {}
+    def messages(senders):
+        box = {}
         for s, d in edges:
-            if active is not None and s not in active:
-                continue
-            if attr[s][0] >= 0:
-                msgs.setdefault(d, []).extend(attr[s][3])
-        return msgs
-
-    msgs = send(None)
-    it = 0
-    while msgs and it < max_iter:
-        for v, m in msgs.items():
-            attr[v] = _greedy_vprog(v, attr[v], m)
-        msgs = send(set(msgs))
-        it += 1
-    return {v: (attr[v][1], attr[v][2]) for v in verts}, it, bool(msgs)
+            if s in senders and not vertices[s].halted:
+                box.setdefault(d, []).append(vertices[s].out)
+        return box
+
+    box, rounds = messages(vertices.keys()), 0
+    while box and rounds < max_iter:
+        for i, got in box.items():
+            if not vertices[i].halted:
+                PHASES[vertices[i].step % 4](vertices[i], got)
+                vertices[i].step += 1
+        box = messages(box.keys())
+        rounds += 1
+    return {i: (v.color, v.value) for i, v in vertices.items()}, rounds, bool(box)
 
 
 def both_ways(pairs):

@@ -8,23 +8,23 @@ from .test_text import INPUT_LINES
 TOY = "1 2\n2 1\n1 3\n3 1\n2 3\n3 2\n2 4\n4 2\n2 6\n6 2\n3 5\n5 3\n3 7\n7 3\n4 5\n5 4\n5 6\n6 5"
 
 
-def test_run_task_dominatingset(spark, tmp_path):
-    p = tmp_path / "toyG.txt"
+def test_run_task_greedy_cover(spark, tmp_path):
+    p = tmp_path / "edges.txt"
     p.write_text(TOY)
     out = tmp_path / "out"
     report = {}
-    res = run_task(spark, "dominatingset", str(p), num_partitions=4, output=str(out), report=report)
+    res = run_task(spark, "greedy_cover", str(p), num_partitions=4, output=str(out), report=report)
     assert report["n_vertices"] == 7 and report["n_edges"] == 18 and report["rounds"] == 3
     lines = sorted(spark.read.text(str(out)).collect(), key=lambda r: r[0])
     assert [r[0] for r in lines][:3] == ["1\t(-4,11)", "2\t(-5,11)", "3\t(-5,11)"]
     assert res.count() == 7
 
 
-def test_run_task_intprog(spark, tmp_path):
-    p = tmp_path / "toyG.txt"
+def test_run_task_lp_cover(spark, tmp_path):
+    p = tmp_path / "edges.txt"
     p.write_text(TOY)
     for strat in (0, 1, 2):
-        res = run_task(spark, "intprog", str(p), num_partitions=4, k=2, delta=5, part_strat=strat)
+        res = run_task(spark, "lp_cover", str(p), num_partitions=4, k=2, delta=5, part_strat=strat)
         got = {r["id"]: r["color"] for r in res.collect()}
         assert got == {1: 0, 2: 2, 3: 2, 4: 0, 5: 2, 6: 0, 7: 0}
 
@@ -35,9 +35,9 @@ def test_run_task_arguments(spark, tmp_path):
     with pytest.raises(ValueError):
         run_task(spark, "pagerank", str(p), num_partitions=2)
     with pytest.raises(ValueError):
-        run_task(spark, "dominatingset", str(p))
+        run_task(spark, "greedy_cover", str(p))
     with pytest.raises(ValueError):
-        run_task(spark, "intprog", str(p), num_partitions=2, k=2)
+        run_task(spark, "lp_cover", str(p), num_partitions=2, k=2)
 
 
 def test_streaming_popular_chars(spark, tmp_path):
