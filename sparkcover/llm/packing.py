@@ -15,7 +15,10 @@ task's partition, so they are unique; a repeated task deals its rows again alike
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,27 +32,128 @@ OUTPUTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 _GROUP = 2 << 20  # bytes of text that are looked up in the word cache together
 
 
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+# what the tokenizer's own pattern finds in lower-cased ASCII, and in Latin letters with accents
+_ASCII = re.compile(f"{_CONTRACTIONS}|[a-z]+|[0-9]|[^a-z0-9]+".encode())
+_LATIN = re.compile(rf"{_CONTRACTIONS}|[^\W\d_]+|\d|(?:[^\w ]|_)+")
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_ODD_LATIN = frozenset("\u00b2\u00b3\u00b9\u00bc\u00bd\u00be")  # numbers that Python's classes call letters
+_WESTERN = bytes([*range(0xC0), 0xC3])  # bytes of ASCII and of U+00C0 to U+00FF
+_END = b"\xff"  # marks a word's end; never a byte of UTF-8
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable letter of each byte in byte-level vocabularies."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _merged(parts: list[bytes], order: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """Byte-pair merges of a word, by order of the merge rules."""
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: order.get((parts[i], parts[i + 1]), 1 << 40))
+        if (parts[best], parts[best + 1]) not in order:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts
+
+
+def _merge_engine(path: str):
+    """``bytes of one word -> bytes of ids`` by the vocabulary's merges, or None if it is of another make.
+
+    A merge by the rank of the joined bytes equals one by the rule for the pair whenever
+    every token arises from its own bytes; tokens that don't can't arise in a word either
+    and are left out. So the ids are those of the tokenizer itself.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model, split = made["model"], made["pre_tokenizer"].get("pretokenizers", [{}])[0]
+    usual = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False}
+    if any(model.get(k) != v for k, v in usual.items()) or split.get("pattern", {}).get("Regex") != _PATTERN:
+        return None
+    if [n["type"] for n in made["normalizer"].get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+        return None
+    letters = _byte_letters()
+
+    def raw(token: str) -> bytes:
+        end = token.endswith("</w>") and len(token) > 4
+        return bytes(letters[c] for c in (token[:-4] if end else token)) + _END * end
+
+    ids = {raw(t): i for t, i in model["vocab"].items() if letters.get(t[0]) != 255}
+    pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+    ranks = {bytes([b]): b for b in range(256)}
+    for b in range(255):
+        ranks[bytes([b]) + _END] = 256 + b
+    real = np.zeros(512 + len(order), np.int64)
+    for token, rank in ranks.items():
+        real[rank] = ids.get(token, -1)
+    for (a, b), k in order.items():
+        token = a + b
+        first = [bytes([x]) for x in token.removesuffix(_END)]
+        if token.endswith(_END):
+            first[-1] += _END
+        if token not in ranks and token in ids and _merged(first, order) == [token]:
+            ranks[token] = 512 + k
+            real[512 + k] = ids[token]
+    engine = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    coded = [struct.pack("<I", max(0, r)) for r in real.tolist()]
+    return lambda word: b"".join([coded[r] for r in engine.encode_single_piece(word + _END)])
+
+
 class WordEncoder:
     """Token ids of texts under a tokenizer whose words never cross ASCII white space.
 
-    The tokenizer encodes each distinct stretch between white space once and a bounded
-    cache keeps its ids, as little-endian unsigned 32-bit bytes.
+    Each distinct stretch between white space is encoded once; a bounded cache keeps its
+    ids, as little-endian unsigned 32-bit bytes. Stretches of Latin script are split and
+    merged here, all others by the tokenizer itself.
     """
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = _merge_engine(path)
         self.cache: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
+    def _pieces(self, word: bytes) -> list[bytes] | None:
+        """The words a stretch is split into, or None where only the tokenizer knows."""
+        if self.merge is None or b"<|" in word:  # special tokens
+            return None
+        if word.isascii():
+            return _ASCII.findall(word.lower())
+        if not word.translate(None, _WESTERN):  # nothing to compose, and lower case is one letter for one
+            return [p.encode("utf-8") for p in _LATIN.findall(word.decode("utf-8").lower())]
+        text = word.decode("utf-8")
+        if max(text) >= "\u0250":
+            return None
+        text = self.tokenizer.normalizer.normalize_str(text)
+        if max(text) >= "\u0250" or not _ODD_LATIN.isdisjoint(text):
+            return None
+        return [p.encode("utf-8") for p in _LATIN.findall(text)]
+
     def _learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > self.cache_words:
             self.cache = {w: self.cache[w] for w in words if w in self.cache}
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+        left = []
+        merged: dict[bytes, bytes] = {}  # words in one group often differ in case or punctuation only
+        for word in new:
+            pieces = self._pieces(word)
+            if pieces is None:
+                left.append(word)
+                continue
+            for p in pieces:
+                if p not in merged:
+                    merged[p] = self.merge(p)
+            self.cache[word] = merged[pieces[0]] if len(pieces) == 1 else b"".join([merged[p] for p in pieces])
+        for at in range(0, len(left), 5000):
+            part = left[at : at + 5000]
             codes = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
             for word, code in zip(part, codes):
                 self.cache[word] = np.array(code.ids, "<u4").tobytes()
@@ -61,6 +165,16 @@ class WordEncoder:
         return [b"".join(map(look, words)) for words in split]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The process's encoder for a vocabulary file: later tasks find its cache filled."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class SumOfSquares:
     """Online packing of pieces into windows of ``capacity``; a piece is ``(length, payload)``."""
 
@@ -157,7 +271,7 @@ def pack(
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = SumOfSquares(capacity)
         base = TaskContext.get().partitionId() << 40
         kinds: list[pa.DataType] = []
