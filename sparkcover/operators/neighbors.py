@@ -23,6 +23,7 @@ state row in one place. ``EdgeSet.send`` picks one of two plans:
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcover.functions.graph import BLACK, WHITE, rank_key, rank_key_id, rank_key_wt, rank_mode
-from sparkcover.plans.loop import checkpointed
+from sparkcover.plans.loop import checkpointed, static_plans
 from sparkcover.session import broadcast_limit_bytes, drop_path, shuffle_partitions
 
 # Estimated bytes per broadcast state row: UnsafeRow header + 8 bytes per field.
@@ -103,7 +104,6 @@ class EdgeSet:
         n_parts = shuffle_partitions(self.spark)
         self.hot_degree = max(1, -(-self.stats.n_edges // max(1, n_parts)), hot_degree or 0)
         self._split: tuple[DataFrame, DataFrame, DataFrame] | None = None
-        self._by_dst: DataFrame | None = None
         self._owned: list[DataFrame] = [edges] if materialize else []
 
     # ------------------------------------------------------------------ plumbing
@@ -136,19 +136,17 @@ class EdgeSet:
         return self._split
 
     def partitioned(self, state: DataFrame) -> DataFrame:
-        """A vertex state laid out by ``id`` as the prepared edges are: steps then move messages only."""
+        """A vertex state laid out by ``id`` as the prepared edges are: steps then move messages only.
+
+        A state that fits a broadcast is left as it is.
+        """
+        if self.state_fits_broadcast(6):
+            return state
         return state.repartition(shuffle_partitions(self.spark), "id")
 
-    def _edges_by_dst(self) -> DataFrame | None:
-        """Prepared edges hash-partitioned by ``dst``, unless one ``dst`` would burden a task."""
-        if not self._folder or self.stats.max_in_degree > max(4 * self.hot_degree, 1_000_000):
-            return None
-        if self._by_dst is None:
-            self._by_dst = self.edges.repartition(shuffle_partitions(self.spark), "dst").persist(
-                StorageLevel.MEMORY_AND_DISK
-            )
-            self._owned.append(self._by_dst)
-        return self._by_dst
+    def loop_plans(self):
+        """Context for a loop of steps: the kept layout needs plans that aren't changed at run time."""
+        return nullcontext() if self.state_fits_broadcast(6) else static_plans(self.spark)
 
     def send(
         self,
@@ -165,9 +163,7 @@ class EdgeSet:
         src_state = state if where is None else state.where(where)
         src_state = src_state.select(F.col("id").alias("src"), *cols)
         if self.state_fits_broadcast(len(cols), n_rows):
-            by_dst = self._edges_by_dst()
-            edges = self.edges if by_dst is None else by_dst
-            return edges.join(F.broadcast(src_state), "src").select("dst", *cols)
+            return self.edges.join(F.broadcast(src_state), "src").select("dst", *cols)
         hot, hot_edges, cold_edges = self._hot_cold()
         hot_state = src_state.join(F.broadcast(hot), "src", "left_semi")
         from_hot = hot_edges.join(F.broadcast(hot_state), "src").select("dst", *cols)
@@ -187,8 +183,10 @@ class EdgeSet:
         msgs = self.send(state, cols, where, n_rows)
         return msgs.groupBy(F.col("dst").alias("id")).agg(*aggs)
 
-    def join_back(self, state: DataFrame, got: DataFrame) -> DataFrame:
+    def join_back(self, state: DataFrame, got: DataFrame, n_cols: int = 2) -> DataFrame:
         """``state`` with what ``aggregate`` reduced for its vertices (left join on ``id``)."""
+        if self.state_fits_broadcast(n_cols):
+            return state.join(F.broadcast(got), "id", "left")
         return state.join(got.hint("shuffle_hash"), "id", "left")
 
     def restrict(self, live: DataFrame, n_live: int) -> "EdgeSet":
@@ -232,7 +230,7 @@ class EdgeSet:
         for frame in self._owned:
             frame.unpersist(blocking=False)
         self._owned = []
-        self._split = self._by_dst = None
+        self._split = None
         if self._folder:
             drop_path(self.spark, self._folder)
             self._folder = None

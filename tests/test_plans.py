@@ -5,6 +5,7 @@ import os
 import pytest
 
 from sparkcover import catalog as C
+from sparkcover.operators import neighbors as nb
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
@@ -28,7 +29,11 @@ def test_text_scan_prunes(spark, capsys):
 
 
 def test_message_step_is_jvm_only(spark, capsys):
-    plan = plan_of(C.q_onehop_argmax(spark, SF), capsys)
+    es, spans = C._spans(C.order_part(spark, SF))
+    plan = plan_of(nb.onehop_argmax(es, spans), capsys)
     for marker in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "SortAggregate"):
         assert marker not in plan
     assert "BroadcastHashJoin" in plan and "HashAggregate" in plan
+    assert "Scan parquet" not in plan  # the input was read once, for the edge set
+    spans.unpersist()
+    es.release()

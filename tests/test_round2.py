@@ -182,18 +182,6 @@ def test_message_step_moves_only_messages(spark):
         es.release()
 
 
-def test_small_states_need_no_exchange(spark):
-    pairs = both_ways([(a, a + 1) for a in range(200)])
-    with static_plans(spark):
-        es = nb.EdgeSet(spark.createDataFrame(pairs, EDGE), materialize=True)
-        state = es.partitioned(es.edges.select(F.col("src").alias("id")).distinct()).persist()
-        state.count()
-        got = es.aggregate(state, [], [F.count(F.lit(1)).alias("n")])
-        assert got.where("n > 2").count() == 0
-        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
-        es.release()
-
-
 def test_compact_on_the_shuffle_path(spark):
     rng = random.Random(21)
     edges = []
