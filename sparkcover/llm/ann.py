@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcover.llm.common import written
+from sparkcover.llm.common import map_arrow, written
 
 TREES = 48
 MIN_CANDIDATES = 2000
@@ -88,7 +88,7 @@ def _hashed(rows: DataFrame, id_name: str, largest: float | None, dim: int, tree
 
     kind = rows.schema["e"].dataType.simpleString()
     schema = f"tree int, first int, string long, {id_name} long" + f", e {kind}" * vectors
-    return rows.select(id_name, "e").mapInArrow(run, schema)
+    return map_arrow(rows.select(id_name, "e"), run, schema)
 
 
 def _counts(rows: pa.Table, queries: pa.Table, bits: int, length: int) -> pa.Table:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
+import tempfile
+import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +17,40 @@ from pyspark.sql import functions as F
 from sparkcover.session import ensure_checkpoint_dir
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package by Spark's own file server, once per application.
+
+    Also lowers the rows per Arrow batch, unless the session has a setting of its own.
+
+    A driver that finds the package through its working folder or ``sys.path`` doesn't
+    pass those on to the executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkcover_shipped", False):
+        return
+    # rows are whole texts here: Spark's default of 10,000 would make batches of 50 MB and more
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="sparkcover-code-")  # the driver serves it while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "sparkcover.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._sparkcover_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with workers that can import this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,19 +59,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps columns compressed and prunable.
-    The folder is the session's own subfolder of ``spark.checkpoint.dir``. Shuffle files
-    of finished plans that nothing refers to any more are let go.
+    The folder is the session's own subfolder of ``spark.checkpoint.dir``.
     """
     spark, schema = df.sparkSession, df.schema
+    gc.collect()
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark's context cleaner works on what the driver's collector finds
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def let_go_of_shuffles(spark: SparkSession) -> None:
+    """Have Spark's context cleaner delete the shuffle files of plans nothing refers to.
+
+    It works on what the driver's collector finds, which else may run once in half an hour.
+    Python's handles go first, the plans behind them with the next collection.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables of ``written`` from which nothing is read any more."""
     for table in tables:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import free_prefix, kept_columns
+from sparkcover.llm.common import free_prefix, kept_columns, map_arrow
 
 OUTPUTS = ("n_words", "n_hit", "hit_spans", "item_ids", "contaminated")
 
@@ -179,7 +179,7 @@ def mark_benchmark(
         return run
 
     for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        rows = rows.mapInArrow(one_pass(block, k == 0), plain)
+        rows = map_arrow(rows, one_pass(block, k == 0), plain)
     hit = F.aggregate(f"{w}s", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return rows.select(
         *kept_columns(docs.select(*[F.col(f"`{c}`") for c in keep]), OUTPUTS),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import kept_columns
+from sparkcover.llm.common import kept_columns, map_arrow
 
 OUTPUTS = ("lang_pred", "score", "accepted")
 UNKNOWN = "und"
@@ -169,4 +169,4 @@ def identify(
                 names=schema.fieldNames(),
             )
 
-    return source.mapInArrow(run, schema).select(*kept_columns(source.drop("lang_pred"), ()), *OUTPUTS)
+    return map_arrow(source, run, schema).select(*kept_columns(source.drop("lang_pred"), ()), *OUTPUTS)

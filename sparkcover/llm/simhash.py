@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import discard, free_prefix, written
+from sparkcover.llm.common import discard, free_prefix, let_go_of_shuffles, map_arrow, written
 
 OUTPUTS = ("fingerprint", "component_id", "representative")
 _BITS = 64
@@ -75,7 +75,7 @@ def with_fingerprints(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*keep, name])
 
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(name, T.LongType())])
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def _segments(max_bits: int, parts: int) -> list[tuple[int, int, int]]:
@@ -184,11 +184,8 @@ def links(prints: DataFrame, max_bits: int, *, parts: int = 3, bucket_rows: int
             held = [x[cut:] for x in held]
         yield from found(*held)
 
-    return (
-        dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-        .select("fp", "key", "block", "member")
-        .mapInArrow(run, "u long, v long")
-    )
+    grouped = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    return map_arrow(grouped.select("fp", "key", "block", "member"), run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,6 +244,7 @@ def near_duplicate_groups(
     prints = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("first")), "distinct-fingerprints")
     n = prints.count()
     stars = components(links(prints, max_bits, parts=3 if n < 1 << 27 else 2))
+    let_go_of_shuffles(docs.sparkSession)
     rooted = prints.join(stars, prints["fp"] == stars["u"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first"
     )

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkcover.llm.common import map_arrow
+
 OUTPUTS = ("section", "start_char", "n_section_chars", "n_tokens", "n_crossing", "doc_tokens")
 RULES = ("start", "end", "most")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -133,4 +135,4 @@ def count_tokens(
             for i in range(0, out.num_rows, 50_000):
                 yield out.slice(i, 50_000)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
