@@ -13,9 +13,9 @@ neighbouring windows with one minimizer travel as one segment.
 2. The words of what is left are fetched from the texts. A route with more than
    ``hot_rows`` segments is split into single windows, routed by their whole words.
    Equal segments become one, with the smallest document id.
-3. Shards of about ``shard_words`` words: a suffix order of the distinct segments over
-   word symbols, its Burrows-Wheeler transform in a wavelet matrix (packed bits with
-   ranks per 64-bit block). Backward search extends the matches of all segments to the
+3. Shards of at most about ``shard_words`` words: a suffix order of the distinct segments over
+   word symbols, its Burrows-Wheeler transform in a wavelet matrix (two bits of the
+   symbols per level, packed, with ranks per 64-bit block). Backward search extends the matches of all segments to the
    left one word at a time; at length ``window`` the interval gives the smallest
    document id that has the window, then the last word is dropped and the search goes on.
 4. Each occurrence compares its own id with that; covered windows go back to the
@@ -28,12 +28,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import free_prefix, written
+from sparkcover.llm.common import discard, free_prefix, let_go_of_shuffles, map_arrow, written
 
 OUTPUTS = ("n_words", "n_removed", "kept_text")
 _RUN = 63  # windows in a segment at most: six bits of the place
@@ -46,6 +47,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_ALL = ~np.uint64(0)
+_TURN_ONE = np.array([_ALL, 0, _ALL, 0], np.uint64)
+_TURN_TWO = np.array([_ALL, _ALL, 0, 0], np.uint64)
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
 
 
 def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
@@ -152,31 +157,42 @@ def _segment_rows(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray,
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: one packed bit vector per bit of the symbols."""
+    """Ranks of symbols in a sequence: per level two packed bit vectors, for four branches."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.bits = max(1, int(n_symbols - 1).bit_length())
-        self.blocks, self.before, self.zeros = [], [], []
-        for level in range(self.bits - 1, -1, -1):
-            bit = ((symbols >> level) & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            padded = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
-            padded[: len(packed)] = packed
-            words = padded.view(np.uint64)
-            self.blocks.append(words)
-            self.before.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1])))
-            self.zeros.append(len(bit) - int(bit.sum()))
-            symbols = np.concatenate((symbols[~bit], symbols[bit]))
-        self.start = self._walk(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
+        self.levels = max(1, -(-int(n_symbols - 1).bit_length() // 2))
+        self.planes, self.before = [], []
+        for level in range(self.levels - 1, -1, -1):
+            digit = (symbols >> (2 * level)) & 3
+            planes = []
+            for bit in (digit & 1, digit >> 1):
+                padded = np.zeros((len(digit) // 64 + 1) * 8, np.uint8)
+                packed = np.packbits(bit.astype(bool), bitorder="little")
+                padded[: len(packed)] = packed
+                planes.append(padded.view(np.uint64))
+            one, two = planes
+            valid = np.full(len(one), ~np.uint64(0))
+            valid[-1] = (np.uint64(1) << np.uint64(len(digit) % 64)) - np.uint64(1)
+            before = np.empty((len(one), 4), np.int64)
+            base = 0
+            for d, here in enumerate((~one & ~two, one & ~two, ~one & two, one & two)):
+                counts = np.bitwise_count(here & valid).astype(np.int64)
+                before[:, d] = np.cumsum(counts) - counts + base  # places of smaller branches come first
+                base += int(counts.sum())
+            self.planes.append((one, two))
+            self.before.append(before.reshape(-1))
+            symbols = symbols[np.argsort(digit, kind="stable")]
+        everything = np.arange(n_symbols)
+        self.start = self._walk(everything, np.zeros(n_symbols, np.int64))
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k in range(self.bits):
-            block, inside = at >> 6, (at & 63).astype(np.uint64)
-            ones = self.before[k][block] + np.bitwise_count(
-                self.blocks[k][block] & ((np.uint64(1) << inside) - np.uint64(1))
-            )
-            bit = (symbol >> (self.bits - 1 - k)) & 1
-            at = np.where(bit, self.zeros[k] + ones, at - ones)
+        for k in range(self.levels):
+            digit = (symbol >> (2 * (self.levels - 1 - k))) & 3
+            block = at >> 6
+            one, two = self.planes[k]
+            # a plane is turned round where the digit has a 0 in it
+            here = (one[block] ^ _TURN_ONE[digit]) & (two[block] ^ _TURN_TWO[digit]) & _BELOW[at & 63]
+            at = self.before[k][4 * block + digit] + np.bitwise_count(here)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -185,12 +201,12 @@ class WaveletMatrix:
 
 
 def _order(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by two rank arrays, and the dense rank of each row."""
+    """Rows sorted by two rank arrays (ties in any order), and the dense rank of each row."""
     both = keys[0].astype(np.int64) * (int(keys[1].max()) + 1) + keys[1] if len(keys) > 1 else keys[0]
-    order = np.argsort(both, kind="stable")
-    new = np.concatenate(([0], (both[order][1:] != both[order][:-1]).astype(np.int64)))
+    order = np.argsort(both)
+    sorted_keys = both[order]
     rank = np.empty(len(both), np.int64)
-    rank[order] = np.cumsum(new)
+    rank[order] = np.cumsum(np.concatenate(([False], sorted_keys[1:] != sorted_keys[:-1])))
     return order, rank
 
 
@@ -224,8 +240,9 @@ class FmIndex:
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the matches extended by ``symbol`` to the left."""
-        base = self.less[symbol]
-        return base + self.wavelet.rank(symbol, low), base + self.wavelet.rank(symbol, high)
+        n = len(symbol)
+        both = np.tile(self.less[symbol], 2) + self.wavelet.rank(np.tile(symbol, 2), np.concatenate((low, high)))
+        return both[:n], both[n:]
 
     def least_ids(self, segments: list[list[int]]) -> list[np.ndarray]:
         """For each segment, per window from the left: the smallest id of a document that has it."""
@@ -284,9 +301,8 @@ def _segments(rows: DataFrame, window: int) -> DataFrame:
                         [pa.array(route.view(np.int64)), pa.array(ids[k]), pa.array(place)], names=["route", "id", "place"]
                     )
 
-    return rows.where("id is not null and text is not null").select("id", "tk", "text").mapInArrow(
-        run, "route long, id long, place long"
-    )
+    source = rows.where("id is not null and text is not null").select("id", "tk", "text")
+    return map_arrow(source, run, "route long, id long, place long")
 
 
 def _shared(segments: DataFrame) -> DataFrame:
@@ -325,7 +341,8 @@ def _shared(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
             held = [np.array([], np.int64)] * 3 if many[-1] else [c[last:] for c in cols]
 
-    return segments.repartition("route").sortWithinPartitions("route", "id", "place").mapInArrow(run, "route long, id long, place long")
+    grouped = segments.repartition("route").sortWithinPartitions("route", "id", "place")
+    return map_arrow(grouped, run, "route long, id long, place long")
 
 
 def _occurrences(rows: DataFrame, shared: DataFrame, window: int, hot_rows: int) -> DataFrame:
@@ -345,33 +362,41 @@ def _occurrences(rows: DataFrame, shared: DataFrame, window: int, hot_rows: int)
     joined = wanted.join(rows.select("id", "tk", "text"), ["id", "tk"]).select("id", "tk", "s", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["route", "words", "id", "tk", "first", "windows"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         before = None
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                if before == (ids[i], keys[i]):
-                    continue  # a repeated row has the same segments
-                before = (ids[i], keys[i])
-                words = batch.column(3)[i].as_py().split()
-                for s in batch.column(2)[i].as_py():
-                    first, count = s["at"] >> 6, s["at"] & _RUN
-                    if s["hot"]:
-                        for j in range(first, first + count):
-                            text = b" ".join(words[j : j + window])
-                            route = xxhash.xxh64_intdigest(text, 7)
-                            out.append((route - (1 << 64) if route >> 63 else route, text, ids[i], keys[i], j, 1))
-                    else:
-                        out.append((s["route"], b" ".join(words[first : first + count + window - 1]), ids[i], keys[i], first, count))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
-    return joined.mapInArrow(run, "route long, words binary, id long, tk int, first int, windows int").withColumn(
+            ids, keys, texts = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            lists = batch.column(2)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+            route, place, hot = (c.to_pylist() for c in lists.flatten().flatten())
+            out: list[list] = [[] for _ in range(6)]
+            add_route, add_words, add_id, add_key, add_first, add_windows = (c.append for c in out)
+            start = 0
+            for i, end in enumerate(ends):
+                if before != (ids[i], keys[i]):  # a repeated row has the same segments
+                    before = (ids[i], keys[i])
+                    words = texts[i].split()
+                    for k in range(start, end):
+                        first, count = place[k] >> 6, place[k] & _RUN
+                        parts = [(first, count)] if not hot[k] else [(j, 1) for j in range(first, first + count)]
+                        for j, windows in parts:
+                            text = b" ".join(words[j : j + windows + window - 1])
+                            add_route(xxhash.xxh64_intdigest(text, 7) - (1 << 63) if hot[k] else route[k])
+                            add_words(text)
+                            add_id(ids[i])
+                            add_key(keys[i])
+                            add_first(j)
+                            add_windows(windows)
+                start = end
+                if len(out[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                    for c in out:
+                        c.clear()
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    names = ["route", "words", "id", "tk", "first", "windows"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return map_arrow(joined, run, "route long, words binary, id long, tk int, first int, windows int").withColumn(
         "key", F.xxhash64("words")
     )
 
@@ -384,7 +409,7 @@ def remove_repeated_passages(
     window: int = 13,
     carry: list[str] | None = None,
     hot_rows: int = 4096,
-    shard_words: int = 1 << 19,
+    shard_words: int = 1 << 20,
 ) -> DataFrame:
     """``docs`` (or its columns ``carry``) with ``n_words``, ``n_removed`` and ``kept_text``.
 
@@ -401,15 +426,15 @@ def remove_repeated_passages(
     key = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1 << 30)).cast("int")
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), key.alias("tk"), data.alias("text"))
     shared = written(_shared(_segments(rows, window)), "shared-segments")
+    let_go_of_shuffles(docs.sparkSession)
     found = written(_occurrences(rows.where("id is not null and text is not null"), shared, window, hot_rows), "segments")
-    distinct = written(
-        found.groupBy("route", "key").agg(F.min("id").alias("least_id"), F.first("words").alias("words"), F.first("windows").alias("windows")),
-        "distinct-segments",
-    )
-    total = int(distinct.agg(F.sum(F.col("windows") + window)).first()[0] or 0)
+    discard(shared)
+    let_go_of_shuffles(docs.sparkSession)
+    total = int(found.agg(F.sum(F.col("windows") + window)).first()[0] or 0)
     shards = max(1, -(-total // shard_words))
+    distinct = found.groupBy("route", "key").agg(F.min("id").alias("least_id"), F.first("words").alias("words"))
     least = (
-        distinct.select("route", "key", "least_id", "words", F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
+        distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .groupBy("shard")
         .applyInArrow(lambda t: _search_shard(t, window), "route long, key long, least array<long>")
     )
@@ -425,7 +450,10 @@ def remove_repeated_passages(
         .where(F.size("at") > 0)
         .groupBy("id", "tk").agg(F.flatten(F.collect_list("at")).alias("at"))
     )
-    covered = written(covered, "covered-windows").select(
+    covered = written(covered, "covered-windows")
+    discard(found)
+    let_go_of_shuffles(docs.sparkSession)
+    covered = covered.select(
         F.col("id").alias(f"{w}id"), F.col("tk").alias(f"{w}tk"), F.col("at").alias(f"{w}at")
     )
     base = docs.select(
@@ -465,4 +493,4 @@ def remove_repeated_passages(
                 names=schema.fieldNames(),
             )
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
