@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from sparkcover.llm import oracle
 from sparkcover.llm.ann import nearest_neighbours
 from sparkcover.llm.common import read_table, written
 from sparkcover.llm.decontaminate import mark_benchmark
@@ -151,4 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op7_decontamination": oracle.DECONTAMINATION,
+}
