@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OUTPUTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-_GROUP = 2 << 20  # bytes of text that are looked up in the word cache together
+from sparkcover.llm.common import map_arrow
 
+OUTPUTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 # what the tokenizer's own pattern finds in lower-cased ASCII, and in Latin letters with accents
@@ -39,6 +39,7 @@ _LATIN = re.compile(rf"{_CONTRACTIONS}|[^\W\d_]+|\d|(?:[^\w ]|_)+")
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _ODD_LATIN = frozenset("\u00b2\u00b3\u00b9\u00bc\u00bd\u00be")  # numbers that Python's classes call letters
 _WESTERN = bytes([*range(0xC0), 0xC3])  # bytes of ASCII and of U+00C0 to U+00FF
+_TRAILING = b".,;:!?*#%&$|()"  # no apostrophe: it may start a contraction
 _END = b"\xff"  # marks a word's end; never a byte of UTF-8
 
 
@@ -104,6 +105,18 @@ def _merge_engine(path: str):
     return lambda word: b"".join([coded[r] for r in engine.encode_single_piece(word + _END)])
 
 
+class _Filled(dict):
+    """A dictionary that works out what it doesn't hold."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        value = self[key] = self.of(key)
+        return value
+
+
 class WordEncoder:
     """Token ids of texts under a tokenizer whose words never cross ASCII white space.
 
@@ -118,17 +131,22 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = _merge_engine(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.pieces = _Filled(self.merge)  # words often differ in case or punctuation only
+        self.cache = _Filled(self._encode_word)
         self.cache_words = cache_words
 
-    def _pieces(self, word: bytes) -> list[bytes] | None:
+    def _split(self, word: bytes) -> list[bytes] | None:
         """The words a stretch is split into, or None where only the tokenizer knows."""
         if self.merge is None or b"<|" in word:  # special tokens
             return None
         if word.isascii():
+            stem = word.rstrip(_TRAILING)
+            if stem.isalpha():
+                return [stem.lower()] if len(stem) == len(word) else [stem.lower(), word[len(stem) :]]
             return _ASCII.findall(word.lower())
         if not word.translate(None, _WESTERN):  # nothing to compose, and lower case is one letter for one
-            return [p.encode("utf-8") for p in _LATIN.findall(word.decode("utf-8").lower())]
+            text = word.decode("utf-8").lower()
+            return [text.encode("utf-8")] if text.isalpha() else [p.encode("utf-8") for p in _LATIN.findall(text)]
         text = word.decode("utf-8")
         if max(text) >= "\u0250":
             return None
@@ -137,32 +155,17 @@ class WordEncoder:
             return None
         return [p.encode("utf-8") for p in _LATIN.findall(text)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache = {w: self.cache[w] for w in words if w in self.cache}
-        left = []
-        merged: dict[bytes, bytes] = {}  # words in one group often differ in case or punctuation only
-        for word in new:
-            pieces = self._pieces(word)
-            if pieces is None:
-                left.append(word)
-                continue
-            for p in pieces:
-                if p not in merged:
-                    merged[p] = self.merge(p)
-            self.cache[word] = merged[pieces[0]] if len(pieces) == 1 else b"".join([merged[p] for p in pieces])
-        for at in range(0, len(left), 5000):
-            part = left[at : at + 5000]
-            codes = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for word, code in zip(part, codes):
-                self.cache[word] = np.array(code.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self._learn(set().union(*split))
-        look = self.cache.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+    def _encode_word(self, word: bytes) -> bytes:
+        pieces = self._split(word)
+        if pieces is None:
+            return np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.pieces[p] for p in pieces])
+
+    def encode(self, text: bytes) -> bytes:
+        for held in (self.cache, self.pieces):
+            if len(held) > self.cache_words:
+                held.clear()  # frequent words are back at once
+        return b"".join(map(self.cache.__getitem__, text.split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -300,28 +303,22 @@ def pack(
         for batch in batches:
             kinds = [c.type for c in batch.columns[:n]]
             values = list(zip(*[c.to_pylist() for c in batch.columns[:n]])) if n else [()] * batch.num_rows
-            texts = [x or b"" for x in batch.column(n).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            cuts = np.unique(np.searchsorted(ends, np.arange(_GROUP, ends[-1] + _GROUP, _GROUP), "left") + 1) if len(texts) else []
-            first = 0
-            for last in [*[int(c) for c in cuts], len(texts)]:
-                for doc, ids in zip(values[first:last], encoder.encode(texts[first:last])):
-                    ids += tail
-                    total = len(ids) // 4
-                    start = 0
-                    while total - start >= capacity:
-                        put([(capacity, (doc, start, ids[4 * start : 4 * (start + capacity)], total))])
-                        start += capacity
-                    if start < total:
-                        full = packer.place(total - start, (doc, start, ids[4 * start :], total))
-                        if full:
-                            put(full)
-                    if sizes[0] > 4 << 20:
-                        yield flush()
-                first = max(first, last)
+            for doc, text in zip(values, batch.column(n).to_pylist()):
+                ids = encoder.encode(text or b"") + tail
+                total = len(ids) // 4
+                start = 0
+                while total - start >= capacity:
+                    put([(capacity, (doc, start, ids[4 * start : 4 * (start + capacity)], total))])
+                    start += capacity
+                if start < total:
+                    full = packer.place(total - start, (doc, start, ids[4 * start :], total))
+                    if full:
+                        put(full)
+                if sizes[0] > 4 << 20:
+                    yield flush()
         for window in packer.close(split):
             put(window)
         if rows:
             yield flush()
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

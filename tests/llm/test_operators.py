@@ -223,7 +223,7 @@ def test_sum_of_squares_choice():
 def test_encoder_forgets_and_learns_again():
     e = packing.WordEncoder(WORDS, cache_words=5)
     texts = [" ".join(f"word{i}" for i in range(k, k + 4)) for k in range(20)]
-    flat = [np.frombuffer(x, "<u4").tolist() for x in (e.encode([t.encode()])[0] for t in texts)]
+    flat = [np.frombuffer(x, "<u4").tolist() for x in (e.encode(t.encode()) for t in texts)]
     assert flat == [ids[:-1] for ids in plain_ids(texts)]
     assert len(e.cache) <= 9
 
