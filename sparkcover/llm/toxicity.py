@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import free_prefix, kept_columns, written
+from sparkcover.llm.common import free_prefix, kept_columns, map_arrow, written
 
 OUTPUTS = ("n_hits", "raw", "n_words")
 SAMPLE_ROWS = 30_000
@@ -50,20 +50,37 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "lost and found", "idiot proof")
 
 _LETTERS = str.maketrans(LOOK_ALIKES)
-_NO_WORD = re.compile(r"[^\w@$!]+|_+")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<!\w)[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]+(?![\w!])")
-_SIGNS = re.compile(r"[@$!]+")
+_LOOK_ALIKE = re.compile("[" + "".join(LOOK_ALIKES) + "]")
+_MARKS = re.compile("[" + re.escape("".join(DIGITS)) + "]+")
+_AS_LETTERS = str.maketrans(DIGITS)
+_NO_SIGNS = str.maketrans("@$!", "   ")
+_PUNCTUATION = re.compile(r"[^\w\s]|_")
+
+
+def _unmask(m: re.Match) -> str:
+    """Letters for a run of digits and signs that touches a word; else its digits alone."""
+    text, start, end = m.string, m.start(), m.end()
+    left, right = start > 0 and text[start - 1].isalpha(), end < len(text) and text[end].isalpha()
+    if left and right:
+        return m[0].translate(_AS_LETTERS)
+    run = m[0].strip("!")  # at a word's edge that is punctuation
+    if left and not m[0].startswith("!") and (end == len(text) or not text[end].isalnum()):
+        return run.translate(_AS_LETTERS) + " "
+    if right and not m[0].endswith("!") and (start == 0 or not text[start - 1].isalnum()):
+        return " " + run.translate(_AS_LETTERS)
+    return m[0].translate(_NO_SIGNS)
 
 
 def folded(text: str) -> str:
     """Folded words, one space before and after each."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_LETTERS)
-    else:
+    if text.isascii():
         text = text.lower()
-    text = _INSIDE.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
-    text = _NO_WORD.sub(" ", _SIGNS.sub(" ", text))
-    return " " + text.strip() + " "
+    else:
+        text = unicodedata.normalize("NFKC", text).lower()
+        if _LOOK_ALIKE.search(text):
+            text = text.translate(_LETTERS)
+    text = _PUNCTUATION.sub(" ", _MARKS.sub(_unmask, text))
+    return " " + " ".join(text.split()) + " "
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, sample_rows: int) -> DataFrame:
@@ -93,7 +110,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str,
                     words, labelled, contexts = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labelled, pa.int32()), pa.array(contexts, pa.int64())], names=["word", "y", "c"])
 
-    seen = rows.select("t", "y").mapInArrow(run, "word string, y int, c long").distinct()
+    seen = map_arrow(rows.select("t", "y"), run, "word string, y int, c long").distinct()
     counts = seen.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b")).persist()
     total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("v")).first()
     if not total["a"] or not total["b"]:
@@ -179,7 +196,7 @@ def match_lexicon(
 
     for k in range(blocks):
         block = lexicon.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).orderBy("word").collect()
-        rows = rows.mapInArrow(one_pass([(r["word"], float(r["weight"])) for r in block]), schema)
+        rows = map_arrow(rows, one_pass([(r["word"], float(r["weight"])) for r in block]), schema)
     lexicon.unpersist()
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
     return rows.select(*kept_columns(base, ()), F.col(f"{w}h").alias("n_hits"), F.col(f"{w}r").alias("raw"), F.col(f"{w}n").alias("n_words"))
