@@ -9,8 +9,13 @@ A tree is cut by the first symbol into cells of sorted arrays; a cell of more th
 ``cell_rows`` rows is cut again, each part seeing the cell's queries. Search descends
 to the longest prefix matches, counts the rows below each prefix in every tree, and
 ascends in all trees at once until a query has enough candidates. Candidates are scored
-inside the cells, which give back the best few of each query, never the pairs. A query
-without enough candidates under any first symbol is held against all rows, in blocks.
+inside the cells, which give back the best few of each query, never the pairs.
+
+How many neighbours a query missed is read off the trees: a neighbour that few trees
+show could as well have been shown by none. From those found in one tree and in two,
+the number found in none is estimated (Chao's estimate). A query that has probably
+found less than ``recall`` of its neighbours, or has no level with enough candidates,
+is held against all rows, in blocks; so a dense group costs time, not neighbours.
 
 Equal vectors: as candidates only the ``k + 1`` smallest ids can be among the nearest,
 so others are set aside; equal queries are searched once.
@@ -27,7 +32,8 @@ from sparkcover.llm.common import map_arrow, written
 
 TREES = 48
 MIN_CANDIDATES = 2000
-CANDIDATE_SHARE = 0.02
+CANDIDATE_SHARE = 0.1
+RECALL = 0.9
 _TIE_DIGITS = 12  # sums of a matrix product differ beyond; ties are decided on rounded scores
 
 
@@ -167,6 +173,7 @@ def nearest_neighbours(
     trees: int = TREES,
     min_candidates: int = MIN_CANDIDATES,
     candidate_share: float = CANDIDATE_SHARE,
+    recall: float = RECALL,
     cell_rows: int = 50_000,
     seed: int = 42,
 ) -> DataFrame:
@@ -177,7 +184,9 @@ def nearest_neighbours(
     null, zero or empty vector, or one with null or non-finite components, take no part,
     nor do vectors of another dimension than the most frequent one. Repeated rows count
     once. A query looks at candidates until it has at least ``min_candidates`` and
-    ``candidate_share`` of all rows. An empty table gives an empty result.
+    ``candidate_share`` of all rows, counted once per tree; if these have probably shown
+    it less than ``recall`` of its neighbours, it looks at all rows. An empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     usable = _usable(vectors, vec_id, embedding)
@@ -228,7 +237,21 @@ def nearest_neighbours(
     search = lambda a, b: _nearest(a, b, bits, length, k + 1)
     found = stored.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(search, found_as)
 
-    rest = levelled.where("level = 0")
+    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """The best ``k + 1`` of each query and how many trees showed them."""
+        once = pairs.groupBy("qkey", "vec_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("shown"))
+        return once.withColumn("c", F.row_number().over(best)).where(F.col("c") <= k + 1).drop("c")
+
+    # a vector among the best of a query is among the best of each cell that shows it
+    nearest = written(merged(found), "forest-neighbours")
+    others = nearest.where("vec_id <> qkey").groupBy("qkey").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(F.col("shown") == 1).alias("f1"), F.count_if(F.col("shown") == 2).alias("f2")
+    )
+    missed = F.col("f1") * (F.col("f1") - 1) / (2 * (F.col("f2") + 1))
+    sure = others.where((F.col("found") >= k) & (F.col("found") >= F.lit(recall) * (F.col("found") + missed))).select("qkey")
+    rest = written(levelled.join(sure, "qkey", "left_anti"), "open-queries")
     n_rest = rest.count()
     if n_rest:  # all rows, in blocks of rows and blocks of queries
         row_blocks, query_blocks = max(1, -(-n // cell_rows)), max(1, -(-n_rest // 2000))
@@ -239,16 +262,13 @@ def nearest_neighbours(
         b = rest.select(
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(row_blocks - 1).cast("bigint"))).alias("rb"),
             F.pmod(F.xxhash64("qkey"), F.lit(query_blocks)).cast("int").alias("qb"),
-            F.lit(0).cast("bigint").alias("string"), "qkey", "e", "level",
+            F.lit(0).cast("bigint").alias("string"), "qkey", "e", F.lit(0).alias("level"),
         )
-        found = found.unionByName(a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInArrow(search, found_as))
+        whole = a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInArrow(search, found_as)
+        nearest = nearest.join(sure, "qkey", "left_semi").unionByName(merged(whole))
 
-    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
-    merged = found.groupBy("qkey", "vec_id").agg(F.max("score").alias("score")).withColumn("c", F.row_number().over(best)).where(
-        F.col("c") <= k + 1
-    )
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        asked.join(merged, "qkey").where("vec_id <> query_id").withColumn("rank", F.row_number().over(per_query).cast("int"))
+        asked.join(nearest, "qkey").where("vec_id <> query_id").withColumn("rank", F.row_number().over(per_query).cast("int"))
         .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )

@@ -365,6 +365,32 @@ def test_recall_on_the_given_embeddings(spark):
     assert np.mean(hit) > 0.8  # at the production bound these 2000 rows are searched exactly
 
 
+def mean_recall(df, rows, k=20, every=20):
+    """Per query id, the share of its true neighbours found with the production parameters."""
+    v, ids = np.array([x for _, x in rows]), np.array([i for i, _ in rows])
+    got = defaultdict(set)
+    for x in ann.nearest_neighbours(df, k).collect():
+        got[x.query_id].add(x.vec_id)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        s = v @ v[q]
+        s[q] = -9
+        out[int(ids[q])] = len(got[ids[q]] & set(ids[np.argsort(-s)[:k]])) / k
+    return out
+
+
+def test_recall_inside_a_dense_cluster(spark):
+    r = np.random.default_rng(7)
+    v = r.standard_normal((20_000, 64))
+    v[::3] = r.standard_normal(64) + 0.3 * r.standard_normal((len(v[::3]), 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    found = mean_recall(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows)
+    assert len(found) == 1000
+    assert np.mean([x for q, x in found.items() if q % 3 == 0]) >= 0.9
+    assert np.mean([x for q, x in found.items() if q % 3]) >= 0.9
+
+
 # ------------------------------------------------------------------ toxicity
 
 
