@@ -7,9 +7,10 @@ matches inside an exception phrase don't count. The sum of the weights of the ma
 is normalised by a power of the text's length and mapped to a probability by a
 monotone step function fitted on labelled rows.
 
-The lexicon is learned on a bounded sample of at most ``sample_rows`` labelled rows:
-words that occur in toxic texts more often than chance allows for a vocabulary of that
-size. An occurrence counts by its context (the words around it), so copies and near
+The lexicon is learned on a bounded sample of at most ``sample_rows`` labelled rows,
+half of them toxic where there are as many: words that occur in toxic texts more often
+than by chance, of which about ``FALSE_SHARE`` at most are chance finds (Benjamini and
+Hochberg). So a language with few labelled rows keeps its words. An occurrence counts by its context (the words around it), so copies and near
 copies of one text count once. The automaton is built for ``block_entries`` entries at
 a time; a longer lexicon takes more passes over the rows, which stay where they are.
 The step function is fitted on counts over all labelled rows that are given.
@@ -33,6 +34,7 @@ from sparkcover.llm.common import free_prefix, kept_columns, map_arrow, written
 
 OUTPUTS = ("n_hits", "raw", "n_words")
 SAMPLE_ROWS = 30_000
+FALSE_SHARE = 0.05
 BLOCK_ENTRIES = 50_000
 EXPONENTS = (0.0, 0.1, 0.25, 0.5, 1.0)
 _BINS = 64
@@ -83,13 +85,38 @@ def folded(text: str) -> str:
     return " " + " ".join(text.split()) + " "
 
 
+def _log_ratio(a: int, b: int, p: float) -> float:
+    """Likelihood ratio statistic of ``a`` toxic and ``b`` other occurrences against the common share ``p``."""
+    n = a + b
+    return 2 * (a * math.log(a / n / p) + (b * math.log(b / n / (1 - p)) if b else 0.0))
+
+
+def _least_surprise(pairs: list[tuple[int, int, int]], p: float, words: int) -> float:
+    """The smallest statistic a word needs when at most ``FALSE_SHARE`` of those taken may be chance finds.
+
+    ``pairs``: toxic and other occurrences, and how many of the ``words`` words have them.
+    """
+    ranked = sorted(((_log_ratio(a, b, p), n) for a, b, n in pairs), reverse=True)
+    least, taken = math.inf, 0
+    for at, (statistic, n) in enumerate(ranked):
+        taken += n
+        if at + 1 < len(ranked) and ranked[at + 1][0] == statistic:
+            continue  # equal ones are taken together
+        if math.erfc(math.sqrt(max(statistic, 0.0) / 2)) / 2 <= FALSE_SHARE * taken / words:
+            least = statistic
+    return least
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, sample_rows: int) -> DataFrame:
     """``(word, weight)`` of the words that go with label 1, from a bounded sample of labelled rows."""
     known = (
         labels.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{label}`").isNotNull())
         .groupBy(F.col(f"`{doc_id}`").alias("i")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
-        .orderBy(F.xxhash64("i"), "i").limit(sample_rows)
     )
+    size = known.agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b")).first()
+    n_toxic = min(size["a"], max(sample_rows // 2, sample_rows - size["b"]))
+    drawn = lambda rows, n: rows.orderBy(F.xxhash64("i"), "i").limit(n)
+    known = drawn(known.where("y = 1"), n_toxic).unionByName(drawn(known.where("y <> 1"), sample_rows - n_toxic))
     # at most sample_rows rows of an id and a number
     rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(known), "i")
 
@@ -119,10 +146,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str,
     p = total["a"] / (total["a"] + total["b"])
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     n = a + b
-    # likelihood ratio against the common share p, corrected for the number of words tried
+    # likelihood ratio against the common share p
     surprise = 2 * (a * F.log(a / n / p) + F.when(b > 0, b * F.log(F.greatest(b, F.lit(1.0)) / n / (1 - p))).otherwise(0.0))
+    likely = counts.where("a > 0").where(a / n > p)
+    pairs = likely.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # few: most words are rare
+    least = _least_surprise([(r["a"], r["b"], r["n"]) for r in pairs], p, total["v"])
     weight = F.log((a + 0.5) / (b + 0.5)) - math.log(p / (1 - p))
-    chosen = counts.where("a > 0").where((a / n > p) & (surprise > 2 * math.log(total["v"]) + 2))
+    chosen = likely.where(surprise >= F.lit(least * (1 - 1e-9)))  # sums differ in the last digits
     lexicon = written(chosen.select("word", weight.alias("weight")), "lexicon")
     counts.unpersist()
     return lexicon

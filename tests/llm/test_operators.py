@@ -457,6 +457,25 @@ def test_toxicity_of_held_out_rows(spark):
     assert right / sum(r.toxic for r in held) > 0.75
 
 
+def test_toxic_rows_are_found_in_every_language(spark):
+    from sparkcover.llm.queries import op3_toxicity
+
+    data = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rows = op3_toxicity(spark, data).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r for r in rows if r.lang == lang and r.toxic]
+        assert len(toxic) >= 10 and np.mean([r.n_hits > 0 for r in toxic]) > 0.75, lang
+        assert np.mean([r.predicted for r in toxic]) > 0.6, lang
+
+
+def test_sample_leans_towards_toxic_rows(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('w', id % 40, ' v', id % 7, if(id % 50 = 0, ' vile', ' mild'), ' u', id % 11) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 50 = 0 as int) as toxic")
+    lexicon = toxicity.learn_lexicon(docs, labels, doc_id="doc_id", text="text", label="toxic", sample_rows=80)
+    assert "vile" in {x.word for x in lexicon.collect()}  # 40 toxic rows of 2000, of which an even sample has 1 or 2
+
+
 # ------------------------------------------------------------------ pipeline
 
 
