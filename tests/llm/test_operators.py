@@ -365,11 +365,11 @@ def test_recall_on_the_given_embeddings(spark):
     assert np.mean(hit) > 0.8  # at the production bound these 2000 rows are searched exactly
 
 
-def mean_recall(df, rows, k=20, every=20):
-    """Per query id, the share of its true neighbours found with the production parameters."""
+def mean_recall(df, rows, k=20, every=20, **how):
+    """Per query id, the share of its true neighbours found, with the production parameters unless ``how`` says else."""
     v, ids = np.array([x for _, x in rows]), np.array([i for i, _ in rows])
     got = defaultdict(set)
-    for x in ann.nearest_neighbours(df, k).collect():
+    for x in ann.nearest_neighbours(df, k, **how).collect():
         got[x.query_id].add(x.vec_id)
     out = {}
     for q in np.flatnonzero(ids % every == 0):
@@ -379,6 +379,12 @@ def mean_recall(df, rows, k=20, every=20):
     return out
 
 
+def test_forest_reaches_the_recall_on_the_given_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = mean_recall(df, [(x.vec_id, x.embedding) for x in df.collect()], min_candidates=400)
+    assert np.mean(list(found.values())) >= 0.9
+
+
 def test_recall_inside_a_dense_cluster(spark):
     r = np.random.default_rng(7)
     v = r.standard_normal((20_000, 64))
