@@ -109,3 +109,34 @@ FROM nodes x JOIN subtrees s ON s.d = x.d AND s.prefix = x.prefix
 LEFT JOIN children ch ON ch.d = x.d AND ch.prefix = x.prefix
 LEFT JOIN nodes up ON up.d = x.d - 1 AND up.prefix = x.prefix_up
 """
+
+_TERMS = _BENCH_WORDS  # the same words: letters A-Z and a-z, digits, everything beyond ASCII
+
+RANKED_SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL
+),
+lens AS (SELECT rid, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, sum(n) AS all_terms FROM lens),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) GROUP BY rid, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term
+),
+q AS (
+  SELECT qid, item_id, term, count(*) AS qtf
+  FROM (SELECT qid, item_id, unnest({_TERMS}) AS term FROM (
+          SELECT row_number() OVER () AS qid, * FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)))
+  GROUP BY ALL
+),
+scored AS (
+  SELECT q.qid, q.item_id, lens.rid, lens.doc_id,
+         CAST(sum(q.qtf * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * lens.n * n_docs) // all_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN lens USING (rid), total
+  GROUP BY ALL
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

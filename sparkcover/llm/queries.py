@@ -18,8 +18,10 @@ from sparkcover.llm.ann import nearest_neighbours
 from sparkcover.llm.common import read_table, written
 from sparkcover.llm.decontaminate import mark_benchmark
 from sparkcover.llm.langid import fit_dictionaries, identify
+from sparkcover.llm.licenses import scan_licenses
 from sparkcover.llm.packing import pack
 from sparkcover.llm.prefix_trie import prefix_trie
+from sparkcover.llm.ranked_search import ranked_search
 from sparkcover.llm.sharding import shuffle_into_shards
 from sparkcover.llm.simhash import near_duplicate_groups
 from sparkcover.llm.substring import remove_repeated_passages
@@ -36,6 +38,8 @@ URL_RULES = [
     ("com/de/", "block"),
 ]
 
+LICENSE_PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 of sizes at most one row apart, uniformly shuffled."""
@@ -140,6 +144,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return scan_licenses(read_table(spark, sf_dir, "documents"), LICENSE_PHRASES, carry=["doc_id"]).drop("detections")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item."""
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, each rebuilt behind the head of its group's first."""
     return prefix_trie(
@@ -161,11 +175,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_license_scan": op11_license_scan,
+    "op12_ranked_search": op12_ranked_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op7_decontamination": oracle.DECONTAMINATION,
+    "op12_ranked_search": oracle.RANKED_SEARCH,
     "op13_prefix_trie": oracle.PREFIX_TRIE,
 }
