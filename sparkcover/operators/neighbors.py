@@ -30,6 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcover.functions.exact import ExactSum
 from sparkcover.functions.graph import BLACK, WHITE, rank_key, rank_key_id, rank_key_wt, rank_mode
 from sparkcover.plans.loop import checkpointed, static_plans
 from sparkcover.session import broadcast_limit_bytes, drop_path, shuffle_partitions
@@ -356,11 +357,12 @@ def twohop_local_max(edges, state: DataFrame) -> DataFrame:
 def neighbor_x_sum(edges, state: DataFrame) -> DataFrame:
     """Sum of the in-neighbours' ``x`` (self excluded): ``(id, sum_x)``.
 
-    Plain floating-point sum; the fractional cover itself uses per-level counts
-    (see ``plans.lp``) so that its threshold test does not depend on message order.
+    The exact sum, rounded once (``functions.exact``): bit-equal under any order of messages
+    and any partitioning, for any doubles.
     """
     es = _edge_set(edges)
-    return es.aggregate(state, ["x"], [F.sum("x").alias("sum_x")])
+    exact = ExactSum.of_column(state, "x")
+    return es.aggregate(state, ["x"], exact.partials(F.col("x"), "s")).select("id", exact.total("s").alias("sum_x"))
 
 
 def in_degree(edges) -> DataFrame:
