@@ -38,6 +38,7 @@ from sparkcover.plans.greedy import greedy_dominating_set, greedy_dominating_set
 from sparkcover.plans.lp import (
     fractional_dominating_set,
     lp_rounded_dominating_set,
+    lp_rounded_dominating_set_any,
     round_fractional_ds,
 )
 from sparkcover.sources.sinks import result_text_rows
@@ -282,6 +283,10 @@ def q_lp_rounded_dominating_set(spark, sf_dir):
     return _rounded(lp_rounded_dominating_set(part_supplier(spark, sf_dir), LP_ROUNDED_K, None, DRAW_SEED))
 
 
+def q_lp_rounded_dominating_set_mixed(spark, sf_dir):
+    return _rounded(lp_rounded_dominating_set_any(orders_to_nations(spark, sf_dir), LP_K, None, DRAW_SEED))
+
+
 def q_result_text_rows(spark, sf_dir):
     return result_text_rows(greedy_dominating_set(part_supplier(spark, sf_dir)), "halt_step")
 
@@ -354,6 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fractional_dominating_set": q_fractional_dominating_set,
     "round_fractional_ds": q_round_fractional_ds,
     "lp_rounded_dominating_set": q_lp_rounded_dominating_set,
+    "lp_rounded_dominating_set_mixed": q_lp_rounded_dominating_set_mixed,
     "edge_partition_1d": q_edge_partition_1d,
     "edge_partition_2d": q_edge_partition_2d,
     "edge_partition_2d_nonsquare": q_edge_partition_2d_nonsquare,

@@ -190,6 +190,49 @@ ORDERS_TO_NATIONS = (
 )
 
 
+def lp_superstep_sql(graph: str, k: int, seed: int) -> str:
+    """The fractional and rounding program on any edge list, superstep by superstep: ``program(id, color, x)``."""
+    last = 2 * k * k
+    power = f"pow(CAST((SELECT delta FROM dmax) + 1 AS DOUBLE), CAST({{}} AS DOUBLE) / {k})"
+    passes = "(step - 1) // 2"
+    threshold, level = power.format(f"{k - 1} - ({passes}) // {k}"), "1.0 / " + power.format(f"{k - 1} - ({passes}) % {k}")
+    u = (
+        f"(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':{int(seed)}'), 1, 8)) AS BIGINT) + 1) / CAST(4294967297 AS DOUBLE)"
+    )
+    got = (
+        "got AS (SELECT g.dst AS id, count(*) AS n, count(t.msg) AS n_values, count(*) FILTER (WHERE t.msg = -1) AS whites, "
+        "fsum(t.msg) AS total, greatest(coalesce(max(t.msg), 0), 0) AS most, coalesce(bool_or(t.msg = 2), false) AS any2 "
+        "FROM g JOIN s t ON g.src = t.id WHERE t.active GROUP BY g.dst)"
+    )
+    moved = (
+        f"moved AS (SELECT s.*, m.n IS NOT NULL AS heard, step < {last} AND step % 2 = 1 AS odd, m.n_values, m.any2, "
+        f"CAST(floor(m.most) AS BIGINT) AS top, m.total, CASE WHEN m.whites >= {threshold} THEN greatest(x, {level}) ELSE x END AS raised "
+        "FROM s LEFT JOIN got m ON s.id = m.id)"
+    )
+    coloured = (
+        "coloured AS (SELECT *, CASE WHEN NOT heard OR odd THEN color "
+        f"WHEN step <= {last} THEN CASE WHEN total >= 1 THEN -2 ELSE color END WHEN step = {last + 1} THEN 0 "
+        f"WHEN step = {last + 4} THEN CASE WHEN {u} <= least(1.0, x * ln(1 + CAST(greatest(top, deg) AS DOUBLE))) THEN 2 ELSE 0 END "
+        f"WHEN step = {last + 5} AND NOT any2 THEN 2 ELSE color END AS c2, "
+        f"CASE WHEN NOT heard THEN deg WHEN step = {last + 1} THEN 0 WHEN step = {last + 2} THEN n_values "
+        f"WHEN step = {last + 3} THEN top WHEN step = {last + 4} THEN greatest(top, deg) ELSE deg END AS d2 FROM moved)"
+    )
+    step = (
+        "SELECT it + 1, id, CAST(CASE WHEN heard THEN step + 1 ELSE step END AS INTEGER), CAST(c2 AS INTEGER), "
+        "CASE WHEN heard AND odd THEN raised ELSE x END, CAST(d2 AS BIGINT), "
+        f"CASE WHEN NOT heard THEN msg WHEN odd THEN raised WHEN step <= {last} THEN CAST(c2 AS DOUBLE) WHEN step = {last + 1} THEN 1.0 "
+        f"WHEN step IN ({last + 2}, {last + 3}) THEN CAST(d2 AS DOUBLE) WHEN step = {last + 4} THEN CAST(c2 AS DOUBLE) END, "
+        f"heard FROM coloured WHERE it < {last + 6}"
+    )
+    return (
+        f"WITH RECURSIVE {graph}, dmax AS (SELECT max(d) AS delta FROM (SELECT count(*) AS d FROM g GROUP BY dst)), "
+        "s(it, id, step, color, x, deg, msg, active) AS (SELECT 0, CAST(id AS BIGINT), CAST(1 AS INTEGER), CAST(-1 AS INTEGER), "
+        "CAST(0 AS DOUBLE), CAST(0 AS BIGINT), CAST(-1 AS DOUBLE), true FROM (SELECT src AS id FROM g UNION SELECT dst FROM g) "
+        f"UNION ALL (WITH {got}, {moved}, {coloured} {step})), "
+        f"program AS (SELECT id, color, x FROM s WHERE it = {last + 6})"
+    )
+
+
 def lp_sql(graph: str, k: int) -> list[str]:
     """CTE list computing ``frac(id, color, x)``; delta = the graph's max in-degree."""
     lv_cols = ", ".join(
@@ -339,6 +382,9 @@ def oracle_sql() -> dict[str, str]:
     q["round_fractional_ds"] = (
         f"WITH {frac2}, {rnd} SELECT id, color, round(x, 6) AS x FROM rounded"
     )
+    q["lp_rounded_dominating_set_mixed"] = (
+        f"{lp_superstep_sql(ORDERS_TO_NATIONS, LP_K, DRAW_SEED)} SELECT id, color, round(x, 6) AS x FROM program"
+    )
     frac1 = ", ".join(lp_sql(PART_SUPPLIER, LP_ROUNDED_K))
     q["lp_rounded_dominating_set"] = (
         f"WITH {frac1}, {rnd} SELECT id, color, round(x, 6) AS x FROM rounded"

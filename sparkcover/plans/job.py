@@ -18,7 +18,7 @@ from sparkcover.plans.greedy import (
     greedy_dominating_set,
     greedy_dominating_set_directed,
 )
-from sparkcover.plans.lp import lp_rounded_dominating_set
+from sparkcover.plans.lp import lp_rounded_dominating_set, lp_rounded_dominating_set_any
 from sparkcover.sources.edges import read_edge_list
 from sparkcover.sources.sinks import write_result_text
 
@@ -46,13 +46,14 @@ def run_task(
       A symmetric simple one is run to convergence by rounds, result ``(id, color,
       halt_step)``; a one-way, repeated or looped one by the superstep-exact program,
       result ``(id, color, value, halt_step, converged)``.
-    * ``lp_cover``: needs ``k``, ``delta`` and ``part_strat`` (0 none, 1 1D, 2 2D) and a
-      symmetric simple edge list; fractional cover then rounding; result ``(id, color, x)``.
+    * ``lp_cover``: needs ``k``, ``delta`` and ``part_strat`` (0 none, 1 1D, 2 2D); any edge
+      list, by passes or supersteps likewise; fractional cover then rounding; result
+      ``(id, color, x)``.
 
     ``num_partitions`` is required for both, as the edge partition count.
     With ``output`` the result is also written as text rows ``id<TAB>(color,second)``;
     an existing folder there is an error. ``report`` (a dict) receives the graph size,
-    the path taken (``rounds`` or ``supersteps``), ``converged`` and the algorithm's wall time.
+    the path taken (``rounds``, ``passes`` or ``supersteps``), ``converged`` and the algorithm's wall time.
     """
     if task not in TASKS:
         raise ValueError(f"Invalid task type: {task!r} (expected one of {TASKS})")
@@ -75,18 +76,21 @@ def run_task(
         t0 = time.time()
         second = "halt_step"
         stats: dict = {}
+        check = check_symmetric_simple(es.edges)
+        simple = not (check["bad_pairs"] or check["loops"])
         if task == "lp_cover":
-            result = lp_rounded_dominating_set(es, int(k), int(delta), seed)
+            cover = lp_rounded_dominating_set if simple else lp_rounded_dominating_set_any
+            known = {"validate": False} if simple else {}
+            result = cover(es, int(k), int(delta), seed, **known)
+            facts |= {"path": "passes" if simple else "supersteps", "converged": True}
             second = "x"
+        elif simple:
+            result = greedy_dominating_set(es, validate=False, stats_out=stats)
+            facts |= {"path": "rounds", "converged": True, "rounds": stats["rounds"]}
         else:
-            check = check_symmetric_simple(es.edges)
-            if check["bad_pairs"] or check["loops"]:
-                result = greedy_dominating_set_directed(es, stats_out=stats)
-                facts |= {"path": "supersteps", "converged": stats["converged"], "iterations": stats["iterations"]}
-                second = "value"
-            else:
-                result = greedy_dominating_set(es, validate=False, stats_out=stats)
-                facts |= {"path": "rounds", "converged": True, "rounds": stats["rounds"]}
+            result = greedy_dominating_set_directed(es, stats_out=stats)
+            facts |= {"path": "supersteps", "converged": stats["converged"], "iterations": stats["iterations"]}
+            second = "value"
         facts["seconds"] = round(time.time() - t0, 3)
     finally:
         es.release()
