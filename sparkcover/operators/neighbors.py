@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from sparkcover.functions.exact import ExactSum
 from sparkcover.functions.graph import BLACK, WHITE, rank_key, rank_key_id, rank_key_wt, rank_mode
-from sparkcover.plans.loop import checkpointed, static_plans
+from sparkcover.plans.loop import checkpointed, kept_layout
 from sparkcover.session import broadcast_limit_bytes, drop_path, shuffle_partitions
 
 # Estimated bytes per broadcast state row: UnsafeRow header + 8 bytes per field.
 _ROW_OVERHEAD = 16
 _FIELD_BYTES = 24  # a slot, and 16 bytes more for a wide decimal
+# A hash table of one partition's state rows can't spill: it is asked for up to this size only.
+_HASHED_BYTES = 128 << 20
 
 
 @dataclass
@@ -113,6 +115,15 @@ class EdgeSet:
         rows = self.stats.n_vertices if n_rows is None else n_rows
         return rows * (_ROW_OVERHEAD + _FIELD_BYTES * (n_cols + 1)) <= self.broadcast_bytes
 
+    def _hashed(self, build: DataFrame, n_cols: int, n_rows: int | None = None) -> DataFrame:
+        """``build`` as the hash-table side of a join, while a partition of it is known to be small.
+
+        Beyond that the join is left to Spark, which sorts and can spill.
+        """
+        rows = self.stats.n_vertices if n_rows is None else n_rows
+        size = rows * (_ROW_OVERHEAD + _FIELD_BYTES * (n_cols + 1)) / shuffle_partitions(self.spark)
+        return build.hint("shuffle_hash") if size <= _HASHED_BYTES else build
+
     def _hot_cold(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(hot source ids, edges from hot sources, edges from cold sources)."""
         if self._split is None:
@@ -146,8 +157,8 @@ class EdgeSet:
         return state.repartition(shuffle_partitions(self.spark), "id")
 
     def loop_plans(self):
-        """Context for a loop of steps: the kept layout needs plans that aren't changed at run time."""
-        return nullcontext() if self.state_fits_broadcast(6) else static_plans(self.spark)
+        """Context for a loop of steps: the layout of states and edges is kept from step to step."""
+        return nullcontext() if self.state_fits_broadcast(6) else kept_layout(self.spark)
 
     def send(
         self,
@@ -163,13 +174,17 @@ class EdgeSet:
         """
         src_state = state if where is None else state.where(where)
         src_state = src_state.select(F.col("id").alias("src"), *cols)
-        if self.state_fits_broadcast(len(cols), n_rows):
-            return self.edges.join(F.broadcast(src_state), "src").select("dst", *cols)
+        return self.with_source(src_state, len(cols), n_rows).select("dst", *cols)
+
+    def with_source(self, src_state: DataFrame, n_cols: int, n_rows: int | None = None) -> DataFrame:
+        """Every edge with the columns of its source's row in ``src_state`` (keyed by ``src``)."""
+        if self.state_fits_broadcast(n_cols, n_rows):
+            return self.edges.join(F.broadcast(src_state), "src")
         hot, hot_edges, cold_edges = self._hot_cold()
         hot_state = src_state.join(F.broadcast(hot), "src", "left_semi")
-        from_hot = hot_edges.join(F.broadcast(hot_state), "src").select("dst", *cols)
+        from_hot = hot_edges.join(F.broadcast(hot_state), "src")
         # a hash table of a partition's states: the cached edges need no sort
-        from_cold = cold_edges.join(src_state.hint("shuffle_hash"), "src").select("dst", *cols)
+        from_cold = cold_edges.join(self._hashed(src_state, n_cols, n_rows), "src")
         return from_hot.unionByName(from_cold)
 
     def aggregate(
@@ -184,11 +199,53 @@ class EdgeSet:
         msgs = self.send(state, cols, where, n_rows)
         return msgs.groupBy(F.col("dst").alias("id")).agg(*aggs)
 
+    def pull(
+        self,
+        state: DataFrame,
+        asking: Column,
+        cols: list[str],
+        aggs: list[Column],
+        where: Column | None = None,
+        n_rows: int | None = None,
+    ) -> DataFrame:
+        """Like ``aggregate``, for the vertices that are ``asking`` only: ``(id, *aggs)``.
+
+        For symmetric edge sets: the out-edges of an asking vertex lead to its in-neighbours,
+        so only its own edges are read and joined. An in-neighbour that many ask answers
+        where the questions lie.
+        """
+        asked = state.where(asking).select("id")
+        answers = state if where is None else state.where(where)
+        answers = answers.select("id", *cols)
+        if self.state_fits_broadcast(len(cols), n_rows):
+            asked = asked.select(F.col("id").alias("dst"))
+            edges = self.edges.join(F.broadcast(asked), "dst", "left_semi")
+            found = edges.join(F.broadcast(answers.withColumnRenamed("id", "src")), "src").select("dst", *cols)
+            return found.groupBy(F.col("dst").alias("id")).agg(*aggs)
+        questions = self._edges_of(asked)
+        hot, _, _ = self._hot_cold()
+        hot = hot.withColumnRenamed("src", "id")
+        hot_answers = answers.join(F.broadcast(hot), "id", "left_semi")
+        from_hot = questions.join(F.broadcast(hot_answers), "id").select("asker", *cols)
+        rest = questions.join(F.broadcast(hot), "id", "left_anti")
+        found = from_hot.unionByName(rest.join(answers, "id").select("asker", *cols))
+        return found.groupBy(F.col("asker").alias("id")).agg(*aggs)
+
+    def _edges_of(self, ids: DataFrame) -> DataFrame:
+        """The out-edges of some vertices as ``(asker, id)``: source and destination."""
+        hot, hot_edges, cold_edges = self._hot_cold()
+        src = ids.select(F.col("id").alias("src"))
+        hot_src = src.join(F.broadcast(hot), "src", "left_semi")
+        both = hot_edges.join(F.broadcast(hot_src), "src", "left_semi").unionByName(
+            cold_edges.join(src, "src", "left_semi")
+        )
+        return both.select(F.col("src").alias("asker"), F.col("dst").alias("id"))
+
     def join_back(self, state: DataFrame, got: DataFrame, n_cols: int = 2) -> DataFrame:
         """``state`` with what ``aggregate`` reduced for its vertices (left join on ``id``)."""
         if self.state_fits_broadcast(n_cols):
             return state.join(F.broadcast(got), "id", "left")
-        return state.join(got.hint("shuffle_hash"), "id", "left")
+        return state.join(self._hashed(got, n_cols), "id", "left")
 
     def restrict(self, live: DataFrame, n_live: int) -> "EdgeSet":
         """Edges whose two endpoints are both in ``live`` (``id``), checkpointed."""
@@ -250,15 +307,7 @@ def edge_source_join(edges, state: DataFrame, col: str = "color") -> DataFrame:
     """Every edge with its source's value: ``(src, dst, src_<col>)``."""
     es = _edge_set(edges)
     src_state = state.select(F.col("id").alias("src"), F.col(col).alias(f"src_{col}"))
-    if es.state_fits_broadcast(1):
-        return es.edges.join(F.broadcast(src_state), "src").select("src", "dst", f"src_{col}")
-    hot, hot_edges, cold_edges = es._hot_cold()
-    hot_state = src_state.join(F.broadcast(hot), "src", "left_semi")
-    return (
-        hot_edges.join(F.broadcast(hot_state), "src")
-        .unionByName(cold_edges.join(src_state, "src"))
-        .select("src", "dst", f"src_{col}")
-    )
+    return es.with_source(src_state, 1).select("src", "dst", f"src_{col}")
 
 
 def neighbor_agg(edges, state: DataFrame) -> DataFrame:

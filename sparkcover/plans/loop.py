@@ -14,22 +14,25 @@ all earlier rounds. ``StateKeeper`` keeps the loop bounded:
 
 from __future__ import annotations
 
+import json
+import posixpath
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sparkcover.session import drop_path, ensure_checkpoint_dir
 
 
 @contextmanager
-def static_plans(spark):
-    """Plan the loop's steps without runtime re-planning, and restore the setting after.
+def kept_layout(spark):
+    """Runtime re-planning that leaves partition counts alone; the setting is restored after.
 
-    The loops keep states and edges hash-partitioned alike from step to step; adaptive
-    execution would coalesce partitions differently each time and shuffle them again.
+    The loops keep states and edges hash-partitioned alike from step to step. Merging small
+    partitions would give every step a layout of its own and shuffle the next one again; the
+    rest of adaptive execution (skewed joins, plans by measured size) stays on.
     """
-    key = "spark.sql.adaptive.enabled"
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
     try:
@@ -97,3 +100,74 @@ class StateKeeper:
         if self._folder:
             drop_path(self.spark, self._folder)
             self._folder = None
+
+
+class RoundLog:
+    """Committed rounds of a loop in a folder on shared storage, for a driver that dies.
+
+    Checkpoints outlive executors, but only the driver knows them. A commit writes the state
+    as Parquet and then, in one small file, which round it is, where its tables lie and what
+    the driver knew (live counts). The file comes last, so a commit is seen whole or not at
+    all; a new driver reads the newest one. Tables of earlier commits are deleted after.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, every: int = 10):
+        self.spark, self.folder, self.every = spark, folder.rstrip("/"), max(1, int(every))
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda *parts: path(posixpath.join(self.folder, *parts))
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def due(self, round_no: int) -> bool:
+        return round_no % self.every == 0
+
+    def _manifests(self) -> list[str]:
+        if not self._fs.exists(self._path()):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path())]
+        return sorted(n for n in names if n.startswith("round-") and n.endswith(".json"))
+
+    def latest(self, expected: dict) -> dict | None:
+        """The newest commit, or None. One of another input (``expected`` differs) is an error."""
+        names = self._manifests()
+        if not names:
+            return None
+        stream = self._fs.open(self._path(names[-1]))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        found = json.loads(text)
+        if any(found.get(k) != v for k, v in expected.items()):
+            raise ValueError(f"{self.folder} holds rounds of another input ({text[:200]}); use one folder per run")
+        return found
+
+    def read(self, name: str) -> DataFrame:
+        out = self.spark.read.parquet(posixpath.join(self.folder, name))
+        out._log_name = name
+        return out
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table of the log, read back; one left over from an uncommitted try is replaced."""
+        df.write.mode("overwrite").parquet(posixpath.join(self.folder, name))
+        return self.read(name)
+
+    def commit(self, round_no: int, state: DataFrame, retired: list[DataFrame], facts: dict) -> None:
+        before = self._manifests()
+        name = f"state-{round_no:08d}"
+        state.write.mode("overwrite").parquet(posixpath.join(self.folder, name))
+        manifest = facts | {"round": round_no, "state": name, "retired": [p._log_name for p in retired]}
+        # written aside and renamed: a half-written file never has the name of a commit
+        aside, final = self._path(f".round-{round_no:08d}.tmp"), self._path(f"round-{round_no:08d}.json")
+        out = self._fs.create(aside, True)
+        try:
+            out.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            out.close()
+        if not self._fs.rename(aside, final):
+            raise OSError(f"could not commit round {round_no} in {self.folder}")
+        for old in before:
+            self._fs.delete(self._path(old), False)
+            self._fs.delete(self._path("state-" + old[len("round-") : -len(".json")]), True)
+
+    def clear(self) -> None:
+        self._fs.delete(self._path(), True)

@@ -21,7 +21,7 @@ from sparkcover.operators import neighbors as nb
 from sparkcover.operators.checks import bad_colors, cover_report, undominated_vertices
 from sparkcover.plans.greedy import greedy_dominating_set, greedy_dominating_set_directed
 from sparkcover.plans.job import run_task
-from sparkcover.plans.loop import static_plans
+from sparkcover.plans.loop import kept_layout
 from sparkcover.plans.lp import lp_rounded_dominating_set, round_fractional_ds
 from sparkcover.session import parse_bytes
 from sparkcover.sources.sinks import write_result_parquet, write_result_text
@@ -157,7 +157,7 @@ def test_restrict_splits_hubs(spark):
 def test_message_step_moves_only_messages(spark):
     """Without broadcasts: one exchange a step, and the cached edges aren't sorted again."""
     pairs = both_ways([(a, a + 1) for a in range(200)])
-    with static_plans(spark):
+    with kept_layout(spark):
         es = nb.EdgeSet(spark.createDataFrame(pairs, EDGE), materialize=True, broadcast_bytes=0)
         es._hot_cold()
         ids = es.edges.select(F.col("src").alias("id")).distinct()
@@ -165,8 +165,9 @@ def test_message_step_moves_only_messages(spark):
         state.count()
         got = es.aggregate(state, ["v"], [F.max("v").alias("m")])
         step = es.join_back(state, got).select("id", "m")
-        physical = step._jdf.queryExecution().executedPlan().toString()
-        assert step.count() == 201
+        assert len(step.collect()) == 201
+        physical = step._jdf.queryExecution().executedPlan().toString()  # as it was run
+        physical = physical.split("+- == Initial Plan ==")[0]
         # lines of cached plans are nested below InMemoryRelation; cut them off by indentation
         lines, skip = [], None
         for line in physical.split("\n"):
