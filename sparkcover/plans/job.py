@@ -18,7 +18,7 @@ from sparkcover.plans.greedy import (
     greedy_dominating_set,
     greedy_dominating_set_directed,
 )
-from sparkcover.plans.lp import lp_rounded_dominating_set, lp_rounded_dominating_set_any
+from sparkcover.plans.lp import fractional_dominating_set, lp_rounded_dominating_set_any, round_fractional_ds
 from sparkcover.sources.edges import read_edge_list
 from sparkcover.sources.sinks import write_result_text
 
@@ -39,6 +39,7 @@ def run_task(
     part_strat: int | None = None,
     seed: int = 42,
     report: dict | None = None,
+    resume_dir: str | None = None,
 ) -> DataFrame:
     """Run one graph task on the edge list at ``path``; returns the result DataFrame.
 
@@ -50,6 +51,9 @@ def run_task(
       list, by passes or supersteps likewise; fractional cover then rounding; result
       ``(id, color, x)``.
 
+    ``resume_dir``: a folder on shared storage, kept for this job; a job whose driver died goes
+    on from its last commit there when it is started again.
+
     ``num_partitions`` is required for both, as the edge partition count.
     With ``output`` the result is also written as text rows ``id<TAB>(color,second)``;
     an existing folder there is an error. ``report`` (a dict) receives the graph size,
@@ -79,16 +83,18 @@ def run_task(
         check = check_symmetric_simple(es.edges)
         simple = not (check["bad_pairs"] or check["loops"])
         if task == "lp_cover":
-            cover = lp_rounded_dominating_set if simple else lp_rounded_dominating_set_any
-            known = {"validate": False} if simple else {}
-            result = cover(es, int(k), int(delta), seed, **known)
+            if simple:
+                frac = fractional_dominating_set(es, int(k), int(delta), validate=False, resume_dir=resume_dir)
+                result = round_fractional_ds(es, frac, seed, validate=False)
+            else:
+                result = lp_rounded_dominating_set_any(es, int(k), int(delta), seed, resume_dir=resume_dir)
             facts |= {"path": "passes" if simple else "supersteps", "converged": True}
             second = "x"
         elif simple:
-            result = greedy_dominating_set(es, validate=False, stats_out=stats)
+            result = greedy_dominating_set(es, validate=False, stats_out=stats, resume_dir=resume_dir)
             facts |= {"path": "rounds", "converged": True, "rounds": stats["rounds"]}
         else:
-            result = greedy_dominating_set_directed(es, stats_out=stats)
+            result = greedy_dominating_set_directed(es, stats_out=stats, resume_dir=resume_dir)
             facts |= {"path": "supersteps", "converged": stats["converged"], "iterations": stats["iterations"]}
             second = "value"
         facts["seconds"] = round(time.time() - t0, 3)

@@ -8,6 +8,7 @@ import pytest
 from sparkcover.operators import neighbors as nb
 from sparkcover.plans import loop
 from sparkcover.plans.greedy import greedy_dominating_set
+from sparkcover.plans.job import run_task
 
 from .simulate import both_ways, simulate_greedy
 
@@ -93,6 +94,37 @@ def test_a_killed_run_goes_on(spark, tmp_path, monkeypatch, dies_at):
     assert stats["rounds"] == len(stats["live_counts"]) and not os.path.exists(tmp_path / "run")
 
 
+@pytest.mark.parametrize("task,text,dies_at", [
+    ("lp_cover", "1 2\n2 1\n2 3\n3 2\n", 2),  # symmetric: by passes
+    ("lp_cover", "1 2\n2 3\n3 1\n3 3\n", 8),
+    ("greedy_cover", "1 2\n1 3\n2 3\n3 1\n1 1\n", 4),
+])
+def test_a_killed_job_goes_on(spark, tmp_path, monkeypatch, task, text, dies_at):
+    (tmp_path / "e.txt").write_text(text)
+    more = {"k": 2, "delta": 2, "part_strat": 0} if task == "lp_cover" else {}
+
+    def job(**resume):
+        out = run_task(spark, task, str(tmp_path / "e.txt"), num_partitions=2, **more, **resume)
+        return sorted(map(tuple, out.collect()))
+
+    folder = f"file:{tmp_path}/run"
+    commit, commits = loop.RoundLog.commit, []
+
+    def until(self, round_no, *rest):
+        commits.append(round_no)
+        commit(self, round_no, *rest)
+        if round_no >= dies_at:
+            raise Killed
+
+    monkeypatch.setattr(loop.RoundLog, "due", lambda self, r: True)
+    monkeypatch.setattr(loop.RoundLog, "commit", until)
+    with pytest.raises(Killed):
+        job(resume_dir=folder)
+    monkeypatch.setattr(loop.RoundLog, "commit", lambda self, r, *rest: commits.append(-r) or commit(self, r, *rest))
+    assert job(resume_dir=folder) == job()
+    assert all(-c > dies_at for c in commits if c < 0) and not os.path.exists(tmp_path / "run")
+
+
 def test_a_folder_of_another_run_is_refused(spark, tmp_path):
     g = spark.createDataFrame(both_ways([(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]), EDGE)
     log = loop.RoundLog(spark, f"file:{tmp_path}/run")
