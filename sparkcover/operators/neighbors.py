@@ -23,6 +23,7 @@ state row in one place. ``EdgeSet.send`` picks one of two plans:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import nullcontext
 from dataclasses import dataclass
 
@@ -89,8 +90,12 @@ class EdgeSet:
         materialize: bool = False,
         broadcast_bytes: int | None = None,
         hot_degree: int | None = None,
+        split: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+        n_parts: int | None = None,
+        on_release: Callable[[], object] | None = None,
     ):
-        """``hot_degree`` below ``n_edges / shuffle_partitions`` is raised to it: the hot
+        """``split`` gives hot ids, hot and cold edges laid out beforehand, the cold ones by
+        source in ``n_parts`` partitions (``sources.store``). ``hot_degree`` below ``n_edges / shuffle_partitions`` is raised to it: the hot
         ids are broadcast, and only that bound proves that they are few."""
         self.spark = edges.sparkSession
         edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
@@ -104,9 +109,10 @@ class EdgeSet:
         self.broadcast_bytes = (
             broadcast_limit_bytes(self.spark) if broadcast_bytes is None else broadcast_bytes
         )
-        n_parts = shuffle_partitions(self.spark)
-        self.hot_degree = max(1, -(-self.stats.n_edges // max(1, n_parts)), hot_degree or 0)
-        self._split: tuple[DataFrame, DataFrame, DataFrame] | None = None
+        self.n_parts = n_parts or shuffle_partitions(self.spark)
+        self.hot_degree = max(1, -(-self.stats.n_edges // max(1, self.n_parts)), hot_degree or 0)
+        self._split = split
+        self._on_release = on_release
         self._owned: list[DataFrame] = [edges] if materialize else []
 
     # ------------------------------------------------------------------ plumbing
@@ -121,7 +127,7 @@ class EdgeSet:
         Beyond that the join is left to Spark, which sorts and can spill.
         """
         rows = self.stats.n_vertices if n_rows is None else n_rows
-        size = rows * (_ROW_OVERHEAD + _FIELD_BYTES * (n_cols + 1)) / shuffle_partitions(self.spark)
+        size = rows * (_ROW_OVERHEAD + _FIELD_BYTES * (n_cols + 1)) / self.n_parts
         return build.hint("shuffle_hash") if size <= _HASHED_BYTES else build
 
     def _hot_cold(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,7 +146,7 @@ class EdgeSet:
             )
             cold_edges = (
                 self.edges.join(F.broadcast(hot), "src", "left_anti")
-                .repartition(shuffle_partitions(self.spark), "src")
+                .repartition(self.n_parts, "src")
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
             self._split = (hot, hot_edges, cold_edges)
@@ -154,11 +160,11 @@ class EdgeSet:
         """
         if self.state_fits_broadcast(6):
             return state
-        return state.repartition(shuffle_partitions(self.spark), "id")
+        return state.repartition(self.n_parts, "id")
 
     def loop_plans(self):
         """Context for a loop of steps: the layout of states and edges is kept from step to step."""
-        return nullcontext() if self.state_fits_broadcast(6) else kept_layout(self.spark)
+        return nullcontext() if self.state_fits_broadcast(6) else kept_layout(self.spark, self.n_parts)
 
     def send(
         self,
@@ -292,6 +298,9 @@ class EdgeSet:
         if self._folder:
             drop_path(self.spark, self._folder)
             self._folder = None
+        if self._on_release:
+            self._on_release()
+            self._on_release = None
 
 
 # ---------------------------------------------------------------------------- aggregates

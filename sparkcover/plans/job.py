@@ -21,6 +21,7 @@ from sparkcover.plans.greedy import (
 from sparkcover.plans.lp import fractional_dominating_set, lp_rounded_dominating_set_any, round_fractional_ds
 from sparkcover.sources.edges import read_edge_list
 from sparkcover.sources.sinks import write_result_text
+from sparkcover.sources.store import open_edges, save_edges, store_exists
 
 TASKS = ("greedy_cover", "lp_cover")
 # Partition strategy codes of the LP task (0 none, 1 = 1D, 2 = 2D).
@@ -40,6 +41,7 @@ def run_task(
     seed: int = 42,
     report: dict | None = None,
     resume_dir: str | None = None,
+    edge_store: str | None = None,
 ) -> DataFrame:
     """Run one graph task on the edge list at ``path``; returns the result DataFrame.
 
@@ -54,6 +56,10 @@ def run_task(
     ``resume_dir``: a folder on shared storage, kept for this job; a job whose driver died goes
     on from its last commit there when it is started again.
 
+    ``edge_store``: a folder on shared storage that keeps the graph placed by source in
+    ``num_partitions`` buckets (``sources.store``). The first job with it reads ``path`` and
+    fills it, later ones read it as it lies; the strategy then places nothing.
+
     ``num_partitions`` is required for both, as the edge partition count.
     With ``output`` the result is also written as text rows ``id<TAB>(color,second)``;
     an existing folder there is an error. ``report`` (a dict) receives the graph size,
@@ -73,8 +79,13 @@ def run_task(
     else:
         strategy = "2d"
     facts: dict = {}
-    placed = partition_edges(read_edge_list(spark, path), strategy, int(num_partitions))
-    es = EdgeSet(placed, materialize=True)
+    if edge_store:
+        if not store_exists(spark, edge_store):
+            save_edges(read_edge_list(spark, path), edge_store, int(num_partitions))
+        es = open_edges(spark, edge_store)
+    else:
+        placed = partition_edges(read_edge_list(spark, path), strategy, int(num_partitions))
+        es = EdgeSet(placed, materialize=True)
     try:
         facts |= {"n_vertices": es.stats.n_vertices, "n_edges": es.stats.n_edges}
         t0 = time.time()

@@ -25,20 +25,25 @@ from sparkcover.session import drop_path, ensure_checkpoint_dir
 
 
 @contextmanager
-def kept_layout(spark):
-    """Runtime re-planning that leaves partition counts alone; the setting is restored after.
+def kept_layout(spark, n_parts: int | None = None):
+    """Runtime re-planning that leaves partition counts alone; settings are restored after.
 
-    The loops keep states and edges hash-partitioned alike from step to step. Merging small
-    partitions would give every step a layout of its own and shuffle the next one again; the
-    rest of adaptive execution (skewed joins, plans by measured size) stays on.
+    The loops keep states and edges hash-partitioned alike from step to step, in ``n_parts``
+    partitions. Merging small partitions would give every step a layout of its own and shuffle
+    the next one again; the rest of adaptive execution (skewed joins, plans by measured size)
+    stays on.
     """
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    if n_parts:
+        settings["spark.sql.shuffle.partitions"] = str(n_parts)
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def checkpointed(df: DataFrame) -> tuple[DataFrame, str]:
