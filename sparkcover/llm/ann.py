@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sparkcover.llm.common import map_arrow, written
 
 TREES = 48
-MIN_CANDIDATES = 2000
+MIN_CANDIDATES = 100
 CANDIDATE_SHARE = 0.1
 RECALL = 0.9
 _TIE_DIGITS = 12  # sums of a matrix product differ beyond; ties are decided on rounded scores
