@@ -10,6 +10,7 @@ with Spark, so its work grows with the data. Graphs are derived from
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,18 @@ from sparkcover.operators.wordcount import (
     word_count,
 )
 from sparkcover.plans.greedy import greedy_dominating_set, greedy_dominating_set_directed
+from sparkcover.plans.job import run_task
 from sparkcover.plans.lp import (
     fractional_dominating_set,
     lp_rounded_dominating_set,
     lp_rounded_dominating_set_any,
     round_fractional_ds,
 )
+from sparkcover.session import drop_path, ensure_checkpoint_dir
 from sparkcover.sources.sinks import result_text_rows
 from sparkcover.sources.edges import (
     bipartite_edges,
+    edge_lines,
     graph_size,
     parse_edge_lines,
     vertices_from_edges,
@@ -55,6 +59,7 @@ POPULAR_THRESHOLD = 20
 LP_K = 2
 LP_ROUNDED_K = 3
 DRAW_SEED = 42
+JOB_DELTA = 5
 PARTITIONS_1D = 8
 PARTITIONS_2D = 9
 PARTITIONS_2D_NONSQUARE = 20
@@ -310,6 +315,29 @@ def q_cover_report(spark, sf_dir):
     return _settled(report, es)
 
 
+# ----------------------------------------------------------------------------- jobs
+
+
+def _job(spark, graph: DataFrame, task: str, **options) -> DataFrame:
+    """``run_task`` on an edge-list file that is written from a graph, through an edge store."""
+    folder = f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    edge_lines(graph).write.text(f"{folder}/edges")
+    try:
+        store = f"{folder}/store"
+        return run_task(spark, task, f"{folder}/edges", num_partitions=PARTITIONS_1D, edge_store=store, **options)
+    finally:
+        drop_path(spark, folder)  # the result is checkpointed
+
+
+def q_job_greedy_cover(spark, sf_dir):
+    return _job(spark, order_customer(spark, sf_dir), "greedy_cover")
+
+
+def q_job_lp_cover(spark, sf_dir):
+    graph = orders_to_nations(spark, sf_dir)
+    return _rounded(_job(spark, graph, "lp_cover", k=1, delta=JOB_DELTA, part_strat=1, seed=DRAW_SEED))
+
+
 # ----------------------------------------------------------------------------- partitioning
 
 
@@ -363,6 +391,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "round_fractional_ds": q_round_fractional_ds,
     "lp_rounded_dominating_set": q_lp_rounded_dominating_set,
     "lp_rounded_dominating_set_mixed": q_lp_rounded_dominating_set_mixed,
+    "job_greedy_cover": q_job_greedy_cover,
+    "job_lp_cover": q_job_lp_cover,
     "edge_partition_1d": q_edge_partition_1d,
     "edge_partition_2d": q_edge_partition_2d,
     "edge_partition_2d_nonsquare": q_edge_partition_2d_nonsquare,

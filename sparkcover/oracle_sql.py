@@ -13,6 +13,7 @@ import math
 
 from sparkcover.catalog import (
     DRAW_SEED,
+    JOB_DELTA,
     LP_K,
     LP_ROUNDED_K,
     PARTITIONS_1D,
@@ -190,8 +191,12 @@ ORDERS_TO_NATIONS = (
 )
 
 
-def lp_superstep_sql(graph: str, k: int, seed: int) -> str:
-    """The fractional and rounding program on any edge list, superstep by superstep: ``program(id, color, x)``."""
+def lp_superstep_sql(graph: str, k: int, seed: int, delta: int | None = None) -> str:
+    """The fractional and rounding program on any edge list, superstep by superstep: ``program(id, color, x)``.
+
+    ``delta`` defaults to the largest in-degree.
+    """
+    largest = "max(d)" if delta is None else str(int(delta))
     last = 2 * k * k
     power = f"pow(CAST((SELECT delta FROM dmax) + 1 AS DOUBLE), CAST({{}} AS DOUBLE) / {k})"
     passes = "(step - 1) // 2"
@@ -225,7 +230,7 @@ def lp_superstep_sql(graph: str, k: int, seed: int) -> str:
         f"heard FROM coloured WHERE it < {last + 6}"
     )
     return (
-        f"WITH RECURSIVE {graph}, dmax AS (SELECT max(d) AS delta FROM (SELECT count(*) AS d FROM g GROUP BY dst)), "
+        f"WITH RECURSIVE {graph}, dmax AS (SELECT {largest} AS delta FROM (SELECT count(*) AS d FROM g GROUP BY dst) LIMIT 1), "
         "s(it, id, step, color, x, deg, msg, active) AS (SELECT 0, CAST(id AS BIGINT), CAST(1 AS INTEGER), CAST(-1 AS INTEGER), "
         "CAST(0 AS DOUBLE), CAST(0 AS BIGINT), CAST(-1 AS DOUBLE), true FROM (SELECT src AS id FROM g UNION SELECT dst FROM g) "
         f"UNION ALL (WITH {got}, {moved}, {coloured} {step})), "
@@ -385,6 +390,10 @@ def oracle_sql() -> dict[str, str]:
     q["lp_rounded_dominating_set_mixed"] = (
         f"{lp_superstep_sql(ORDERS_TO_NATIONS, LP_K, DRAW_SEED)} SELECT id, color, round(x, 6) AS x FROM program"
     )
+    q["job_greedy_cover"] = q["greedy_dominating_set_orders"]
+    q["job_lp_cover"] = (
+        f"{lp_superstep_sql(ORDERS_TO_NATIONS, 1, DRAW_SEED, JOB_DELTA)} SELECT id, color, round(x, 6) AS x FROM program"
+    )
     frac1 = ", ".join(lp_sql(PART_SUPPLIER, LP_ROUNDED_K))
     q["lp_rounded_dominating_set"] = (
         f"WITH {frac1}, {rnd} SELECT id, color, round(x, 6) AS x FROM rounded"
