@@ -11,6 +11,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkcover.operators.grid import GridEdgeSet
 from sparkcover.operators.neighbors import EdgeSet
 from sparkcover.operators.partition import partition_edges
 from sparkcover.plans.greedy import (
@@ -42,6 +43,7 @@ def run_task(
     report: dict | None = None,
     resume_dir: str | None = None,
     edge_store: str | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Run one graph task on the edge list at ``path``; returns the result DataFrame.
 
@@ -60,6 +62,10 @@ def run_task(
     ``num_partitions`` buckets (``sources.store``). The first job with it reads ``path`` and
     fills it, later ones read it as it lies; the strategy then places nothing.
 
+    With the 2D strategy the edges stay in the cells they are placed in and vertex states go
+    to them (``operators.grid``). ``broadcast_bytes`` is the size up to which a state is
+    broadcast instead (default: ``spark.sql.autoBroadcastJoinThreshold``).
+
     ``num_partitions`` is required for both, as the edge partition count.
     With ``output`` the result is also written as text rows ``id<TAB>(color,second)``;
     an existing folder there is an error. ``report`` (a dict) receives the graph size,
@@ -82,10 +88,14 @@ def run_task(
     if edge_store:
         if not store_exists(spark, edge_store):
             save_edges(read_edge_list(spark, path), edge_store, int(num_partitions))
-        es = open_edges(spark, edge_store)
+        es = open_edges(spark, edge_store, broadcast_bytes=broadcast_bytes)
     else:
-        placed = partition_edges(read_edge_list(spark, path), strategy, int(num_partitions))
-        es = EdgeSet(placed, materialize=True)
+        read = read_edge_list(spark, path)
+        if strategy == "2d":  # the steps send on the placed edges
+            es = GridEdgeSet(read, int(num_partitions), broadcast_bytes=broadcast_bytes)
+        else:
+            placed = partition_edges(read, strategy, int(num_partitions))
+            es = EdgeSet(placed, materialize=True, broadcast_bytes=broadcast_bytes)
     try:
         facts |= {"n_vertices": es.stats.n_vertices, "n_edges": es.stats.n_edges}
         t0 = time.time()
