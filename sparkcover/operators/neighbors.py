@@ -41,6 +41,9 @@ _ROW_OVERHEAD = 16
 _FIELD_BYTES = 24  # a slot, and 16 bytes more for a wide decimal
 # A hash table of one partition's state rows can't spill: it is asked for up to this size only.
 _HASHED_BYTES = 128 << 20
+# A runtime filter is a broadcast table of 64-bit words, of at most this size in all.
+_FILTER_BYTES = 64 << 20
+_WORD_BYTES = 48
 
 
 @dataclass
@@ -93,6 +96,7 @@ class EdgeSet:
         split: tuple[DataFrame, DataFrame, DataFrame] | None = None,
         n_parts: int | None = None,
         on_release: Callable[[], object] | None = None,
+        filter_bytes: int = _FILTER_BYTES,
     ):
         """``split`` gives hot ids, hot and cold edges laid out beforehand, the cold ones by
         source in ``n_parts`` partitions (``sources.store``). ``hot_degree`` below ``n_edges / shuffle_partitions`` is raised to it: the hot
@@ -113,6 +117,8 @@ class EdgeSet:
         self.hot_degree = max(1, -(-self.stats.n_edges // max(1, self.n_parts)), hot_degree or 0)
         self._split = split
         self._on_release = on_release
+        self.filter_bytes = filter_bytes
+        self._filters: list[str] = []
         self._owned: list[DataFrame] = [edges] if materialize else []
 
     # ------------------------------------------------------------------ plumbing
@@ -130,6 +136,41 @@ class EdgeSet:
         size = rows * (_ROW_OVERHEAD + _FIELD_BYTES * (n_cols + 1)) / self.n_parts
         return build.hint("shuffle_hash") if size <= _HASHED_BYTES else build
 
+    def only(self, edges: DataFrame, end: str, ids: DataFrame) -> DataFrame:
+        """The ``edges`` whose column ``end`` may be one of ``ids`` (column ``id``): a runtime filter.
+
+        For joins that would shuffle or sort the edges: they get those of the active vertices
+        only. The filter is a bitmap of 64-bit words, one bit an id where the graph's id range
+        allows it (then exact), else one bit a hash, with false positives; the join that follows
+        settles them. Its size is bounded by ``filter_bytes`` however many ids there are. Made at
+        once from ``ids``, which should be a held frame; deleted with the edge set.
+        """
+        if self.stats.min_id is None:
+            return edges
+        lo, hi = self.stats.min_id, self.stats.max_id
+        limit = max(1, self.filter_bytes // _WORD_BYTES)
+        exact = (hi - lo) // 64 < limit
+
+        def bit_no(c: Column) -> Column:
+            if exact:  # an id outside of the graph has no edge
+                return F.when(c.between(lo, hi), c - F.lit(lo))
+            return F.pmod(F.xxhash64(c), F.lit(64 * limit))
+
+        def bit(no: Column) -> Column:
+            return F.call_function("shiftleft", F.lit(1).cast("bigint"), no.bitwiseAND(F.lit(63)).cast("int"))
+
+        words = (
+            ids.select(bit_no(F.col("id")).alias("_no")).where("_no is not null")
+            .groupBy(F.shiftright("_no", 6).alias("_word")).agg(F.bit_or(bit(F.col("_no"))).alias("_bits"))
+        )
+        # a table of its own: as a subplan it would double the plan of the ids with every step
+        words, folder = checkpointed(words)
+        self._filters.append(folder)
+        columns = edges.columns
+        asked = edges.withColumn("_no", bit_no(F.col(end))).withColumn("_word", F.shiftright("_no", 6))
+        found = asked.join(F.broadcast(words), "_word")
+        return found.where(F.col("_bits").bitwiseAND(bit(F.col("_no"))) != 0).select(columns)
+
     def _hot_cold(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(hot source ids, edges from hot sources, edges from cold sources)."""
         if self._split is None:
@@ -189,8 +230,12 @@ class EdgeSet:
         hot, hot_edges, cold_edges = self._hot_cold()
         hot_state = src_state.join(F.broadcast(hot), "src", "left_semi")
         from_hot = hot_edges.join(F.broadcast(hot_state), "src")
-        # a hash table of a partition's states: the cached edges need no sort
-        from_cold = cold_edges.join(self._hashed(src_state, n_cols, n_rows), "src")
+        # a hash table of a partition's states: the cached edges need no sort. Where it would
+        # be too large they are sorted, those of the sending vertices only
+        build = self._hashed(src_state, n_cols, n_rows)
+        if build is src_state:
+            cold_edges = self.only(cold_edges, "src", src_state.withColumnRenamed("src", "id"))
+        from_cold = cold_edges.join(build, "src")
         return from_hot.unionByName(from_cold)
 
     def aggregate(
@@ -228,7 +273,8 @@ class EdgeSet:
             edges = self.edges.join(F.broadcast(asked), "dst", "left_semi")
             found = edges.join(F.broadcast(answers.withColumnRenamed("id", "src")), "src").select("dst", *cols)
             return found.groupBy(F.col("dst").alias("id")).agg(*aggs)
-        questions = self._edges_of(asked)
+        # only questions that somebody answers are shuffled
+        questions = self.only(self._edges_of(asked), "id", answers)
         hot, _, _ = self._hot_cold()
         hot = hot.withColumnRenamed("src", "id")
         hot_answers = answers.join(F.broadcast(hot), "id", "left_semi")
@@ -256,6 +302,9 @@ class EdgeSet:
     def restrict(self, live: DataFrame, n_live: int) -> "EdgeSet":
         """Edges whose two endpoints are both in ``live`` (``id``), checkpointed."""
         kept = self.edges
+        if not self.state_fits_broadcast(0, n_live):
+            for end in ("src", "dst"):  # before the first of the two ends' shuffles
+                kept = self.only(kept, end, live)
         for end in ("src", "dst"):
             ids = live.select(F.col("id").alias(end))
             if self.state_fits_broadcast(0, n_live):
@@ -295,6 +344,9 @@ class EdgeSet:
             frame.unpersist(blocking=False)
         self._owned = []
         self._split = None
+        for folder in self._filters:
+            drop_path(self.spark, folder)
+        self._filters = []
         if self._folder:
             drop_path(self.spark, self._folder)
             self._folder = None
