@@ -34,7 +34,12 @@ def kept_layout(spark, n_parts: int | None = None):
     the next one again; the rest of adaptive execution (skewed joins, plans by measured size)
     stays on.
     """
-    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        # a held frame is printed with what made it wherever it is read: texts of nested rounds
+        # grow to hundreds of MB on the driver
+        "spark.sql.maxPlanStringLength": "200000",
+    }
     if n_parts:
         settings["spark.sql.shuffle.partitions"] = str(n_parts)
     before = {key: spark.conf.get(key) for key in settings}
@@ -114,86 +119,99 @@ class DeltaKeeper(StateKeeper):
     The state has one row per ``id``; no id is added or lost between full writes. ``settle``
     compares the new state with the last one (both lie by ``id``: no exchange), checkpoints the
     rows that differ as one more delta, and gives back the base with the newest row of each id
-    laid over it. So the lineage is always base, deltas, one join. The deltas are compacted into
-    a new base once they hold ``compact_share`` of its rows together or there are ``max_deltas``.
+    laid over it. So the lineage is always base, deltas, one join. ``max_deltas`` of them are
+    merged into one; once they hold ``compact_share`` of the base's rows a new base is written.
     ``tick`` names a whole-number column that is the same in all rows and grows by one a round:
-    it is set, not stored. ``transient`` columns are not compared; rows that didn't change have
-    null there. ``written`` lists the rows written per round.
+    it is set, not stored. ``transient`` columns are flags of one round: rows where one is true
+    are written, the others have null there. ``written`` lists the rows written per round.
     """
 
     def __init__(
-        self, spark, edges, *, tick: str, transient: tuple[str, ...] = (), max_deltas: int = 8, compact_share: float = 0.5
+        self, spark, edges, *, tick: str, transient: tuple[str, ...] = (), max_deltas: int = 3, compact_share: float = 0.5
     ):
         super().__init__(spark, 1)
         self._edges, self.tick, self.transient = edges, tick, transient
         self.max_deltas, self.compact_share = max_deltas, compact_share
         self._base: DataFrame | None = None
-        self._base_rows = 0
-        self._deltas: list[tuple[DataFrame, str]] = []
-        self._delta_rows = 0
+        self._base_rows = self._since = 0
+        self._deltas: list[tuple[DataFrame, str, int]] = []
         self._last: DataFrame | None = None
         self.written: list[int] = []
 
     def settle(self, df: DataFrame, force: bool = False, count: bool = True) -> DataFrame:
-        if force or self._base is None:
-            out = self._write_base(df)
-        else:
-            out = self._write_delta(df)
+        self.written.append(0)
+        out = self._write_base(df) if force or self._base is None else self._write_delta(df)
         self._last = out
         if count:
             out.count()
             self.drop_old()
         return out
 
-    def _write_base(self, df: DataFrame) -> DataFrame:
+    def _retire_frames(self) -> None:
         self._old, self._held = self._old + self._held, []
-        base, folder = checkpointed(df)
         if self._last is not None and self._last is not self._base:
             self._old.append(self._last)
+
+    def _write_base(self, df: DataFrame) -> DataFrame:
+        base, folder = checkpointed(df)
+        self._retire_frames()
         self._drop_tables()
         self._base, self._folder = base.persist(StorageLevel.MEMORY_AND_DISK), folder
-        self._base_rows = self._base.count()
-        self.written.append(self._base_rows)
+        self._base_rows, self._since = self._base.count(), 0
+        self.written[-1] += self._base_rows
         return self._base
 
+    def _add(self, rows: DataFrame) -> None:
+        delta, folder = checkpointed(rows)
+        n = delta.count()
+        self.written[-1] += n
+        self._deltas.append((delta, folder, n))
+
     def _write_delta(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c not in ("id", self.tick, *self.transient)]
         last = self._last.select("id", F.struct(*kept).alias("_last"))
         differs = ~F.struct(*kept).eqNullSafe(F.col("_last"))
-        # a row with something in a transient column has something to tell: it is written too
         for c in self.transient:
             differs = differs | F.coalesce(F.col(c), F.lit(False))
-        changed = df.join(self._edges._hashed(last, len(kept)), "id").where(differs).select(df.columns)
-        delta, folder = checkpointed(changed)
-        n = delta.count()
-        self.written.append(n)
-        self._deltas.append((delta, folder))
-        self._delta_rows += n
+        changed = df.join(self._edges._hashed(last, len(kept)), "id").where(differs)
+        self._since += 1
+        stored = ["id", *kept, *self.transient]
+        self._add(changed.select(*stored, F.lit(self._since).alias("_at")))
+        if len(self._deltas) >= self.max_deltas:
+            before, rows = self._deltas, self._newest()
+            self._deltas = []
+            self._add(rows)
+            for _, folder, _ in before:
+                drop_path(self.spark, folder)
         out = self._overlay(df.columns)
-        if len(self._deltas) >= self.max_deltas or self._delta_rows > self.compact_share * self._base_rows:
+        if sum(n for _, _, n in self._deltas) > self.compact_share * self._base_rows:
             return self._write_base(out)
-        self._old, self._held = self._old + self._held, []
-        if self._last is not self._base:
-            self._old.append(self._last)
+        self._retire_frames()
         return out.persist(StorageLevel.MEMORY_AND_DISK)
 
+    def _newest(self) -> DataFrame:
+        """Of each id in the deltas its newest row."""
+        rows = self._deltas[0][0]
+        if len(self._deltas) == 1:
+            return rows
+        for delta, _, _ in self._deltas[1:]:
+            rows = rows.unionByName(delta)
+        values = [c for c in rows.columns if c != "id"]
+        newest = rows.groupBy("id").agg(F.max_by(F.struct(*values), "_at").alias("_row"))
+        return newest.select("id", *[F.col(f"_row.{c}").alias(c) for c in values])
+
     def _overlay(self, columns: list[str]) -> DataFrame:
-        now = len(self._deltas)
-        rounds = [d.withColumn("_at", F.lit(k)) for k, (d, _) in enumerate(self._deltas)]
-        rows = rounds[0]
-        for d in rounds[1:]:
-            rows = rows.unionByName(d)
-        stored = [c for c in columns if c not in ("id", self.tick)]
-        newest = rows.groupBy("id").agg(F.max_by(F.struct(*stored, "_at"), "_at").alias("_new"))
-        joined = self._base.join(self._edges._hashed(newest, len(stored)), "id", "left")
+        newest = self._newest()
+        newest = newest.select("id", F.struct(*[c for c in newest.columns if c != "id"]).alias("_new"))
+        joined = self._base.join(self._edges._hashed(newest, len(columns)), "id", "left")
         out = []
         for c in columns:
             if c == "id":
                 out.append(F.col("id"))
             elif c == self.tick:
-                out.append((F.col(c) + now).cast(self._base.schema[c].dataType).alias(c))
+                out.append((F.col(c) + self._since).cast(self._base.schema[c].dataType).alias(c))
             elif c in self.transient:
-                out.append(F.when(F.col("_new._at") == now - 1, F.col(f"_new.{c}")).alias(c))
+                out.append(F.when(F.col("_new._at") == self._since, F.col(f"_new.{c}")).alias(c))
             else:
                 out.append(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c))
         return joined.select(*out)
@@ -201,13 +219,12 @@ class DeltaKeeper(StateKeeper):
     def _drop_tables(self) -> None:
         if self._base is not None:
             self._old.append(self._base)
-        for folder in [f for _, f in self._deltas] + ([self._folder] if self._folder else []):
+        for folder in [f for _, f, _ in self._deltas] + ([self._folder] if self._folder else []):
             drop_path(self.spark, folder)
-        self._deltas, self._delta_rows, self._folder = [], 0, None
+        self._deltas, self._folder = [], None
 
     def release(self) -> None:
-        if self._last is not None:
-            self._old.append(self._last)
+        self._retire_frames()
         self._drop_tables()
         self._base = self._last = None
         super().release()
