@@ -6,9 +6,10 @@ share a matcher: a shift table on blocks of two words says how far the search ma
 skip, a table on the last block of each pattern selects the few patterns that may
 end there, and their words are then compared directly.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text, so what a task
-holds is bounded however large it is; each block is one more pass over rows that
-stay where they are. Nothing is shuffled.
+The benchmark is read in blocks of about ``block_bytes`` of text, one at a time; each is one
+pass over rows that stay where they are, and what a pass found is written before the next one
+starts. So driver and tasks hold one block however large the benchmark is (one item lies in
+one block). Nothing is shuffled; a benchmark of one block writes nothing between.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcover.llm.common import free_prefix, kept_columns, map_arrow
+from sparkcover.llm.common import discard, free_prefix, kept_columns, map_arrow, written
 
 OUTPUTS = ("n_words", "n_hit", "hit_spans", "item_ids", "contaminated")
 
@@ -138,11 +139,7 @@ def mark_benchmark(
     plain = T.StructType(rows.schema.fields + added)
     arrow_span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def one_pass(block: list, first: bool):
-        ids = [r["i"] for r in block]
-        texts = [bytes(r["t"]) for r in block]
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
+    def one_pass(shared, first: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, items = shared.value
             searchers = matchers(items, window)
@@ -178,8 +175,16 @@ def mark_benchmark(
 
         return run
 
+    table = shared = None
     for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        rows = map_arrow(rows, one_pass(block, k == 0), plain)
+        if k:
+            before, table = table, written(rows, "op7-pass")
+            rows = table
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+        shared = docs.sparkSession.sparkContext.broadcast(([r["i"] for r in block], [bytes(r["t"]) for r in block]))
+        rows = map_arrow(rows, one_pass(shared, k == 0), plain)
     hit = F.aggregate(f"{w}s", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return rows.select(
         *kept_columns(docs.select(*[F.col(f"`{c}`") for c in keep]), OUTPUTS),
