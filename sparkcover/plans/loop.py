@@ -120,7 +120,8 @@ class DeltaKeeper(StateKeeper):
     compares the new state with the last one (both lie by ``id``: no exchange), checkpoints the
     rows that differ as one more delta, and gives back the base with the newest row of each id
     laid over it. So the lineage is always base, deltas, one join. ``max_deltas`` of them are
-    merged into one; once they hold ``compact_share`` of the base's rows a new base is written.
+    merged into one; where they would hold over ``compact_share`` of the base's rows the whole state
+    is written as a new base.
     ``tick`` names a whole-number column that is the same in all rows and grows by one a round:
     it is set, not stored. ``transient`` columns are flags of one round: rows where one is true
     are written, the others have null there. ``written`` lists the rows written per round.
@@ -173,8 +174,11 @@ class DeltaKeeper(StateKeeper):
         differs = ~F.struct(*kept).eqNullSafe(F.col("_last"))
         for c in self.transient:
             differs = differs | F.coalesce(F.col(c), F.lit(False))
+        df = self.hold(df)  # the changes are counted first: much change is written as a base, once
         changed = df.join(self._edges._hashed(last, len(kept)), "id").where(differs)
         self._since += 1
+        if changed.count() + sum(n for _, _, n in self._deltas) > self.compact_share * self._base_rows:
+            return self._write_base(df)
         stored = ["id", *kept, *self.transient]
         self._add(changed.select(*stored, F.lit(self._since).alias("_at")))
         if len(self._deltas) >= self.max_deltas:
@@ -184,8 +188,6 @@ class DeltaKeeper(StateKeeper):
             for _, folder, _ in before:
                 drop_path(self.spark, folder)
         out = self._overlay(df.columns)
-        if sum(n for _, _, n in self._deltas) > self.compact_share * self._base_rows:
-            return self._write_base(out)
         self._retire_frames()
         return out.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -18,7 +18,7 @@ EDGE = "src bigint, dst bigint"
 
 @pytest.mark.parametrize("share,limit", [(0, None), (1, 0)])
 def test_same_cover(spark, share, limit):
-    edges = graphs(random.Random(41), 4, 12)
+    edges = graphs(random.Random(41), 2, 7)
     expected, _, _ = simulate_greedy(edges)
     before = folders(spark), held(spark)
     es = nb.EdgeSet(spark.createDataFrame(edges, EDGE), materialize=True, broadcast_bytes=limit)
@@ -30,22 +30,22 @@ def test_same_cover(spark, share, limit):
 
 
 def test_rows_written_follow_the_changes(spark):
-    path = both_ways([(a, a + 1) for a in range(36)])
+    path = both_ways([(a, a + 1) for a in range(30)])
     expected, _, _ = simulate_greedy(path)
     stats = {}
     got = greedy_dominating_set(
         spark.createDataFrame(path, EDGE), delta_state=True, shrink_ratio=0.0, stats_out=stats
     )
     assert {r.id: (r.color, r.halt_step) for r in got.collect()} == expected
-    # a long path settles from its ends: of 37 vertices a late round changes a few
+    # a long path settles from its ends: of 31 vertices a late round changes a few
     written = stats["written"]
-    assert written[0] == 37 and stats["rounds"] > 6
-    assert sum(written) < 0.7 * 37 * stats["rounds"] and min(written) < 10, written
+    assert written[0] == 31 and stats["rounds"] > 6
+    assert sum(written) < 0.7 * 31 * stats["rounds"] and min(written) < 10, written
 
 
 @pytest.mark.parametrize("share,rows", [
     (0.5, [100, 5, 5, 20, 5, 25, 5, 25, 5]),  # every third delta: all of them merged into one
-    (0.18, [100, 5, 5, 20, 105, 5, 5, 20, 105]),  # a new base once they hold more than 18 rows
+    (0.18, [100, 5, 5, 20, 100, 5, 5, 20, 100]),  # a new base once they hold more than 18 rows
 ])
 def test_deltas_are_laid_over_and_compacted(spark, share, rows):
     es = nb.EdgeSet(spark.createDataFrame(both_ways([(a, a + 1) for a in range(99)]), EDGE), broadcast_bytes=0)
