@@ -7,6 +7,7 @@ import pytest
 from sparkcover.operators.blocks import BlockGraph
 from sparkcover.operators.neighbors import EdgeSet
 from sparkcover.plans.greedy import greedy_dominating_set
+from sparkcover.plans.lp import fractional_dominating_set, lp_rounded_dominating_set, round_fractional_ds
 
 
 def _edges(spark, pairs):
@@ -54,3 +55,29 @@ def test_a_hub_is_spread(spark):
     graph.release()
     assert sum(held) == 4000
     assert max(held) < 3 * 4000 / graph.n
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_lp_same_as_the_joins(spark, k):
+    rnd = random.Random(k)
+    pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(120)] + [(1000, i) for i in range(50)]
+    g = _edges(spark, pairs)
+    es = EdgeSet(g, materialize=True, broadcast_bytes=0)
+    sc = spark.sparkContext
+    group = f"few-jobs-lp-{k}"
+    sc.setJobGroup(group, "lp passes")
+    frac = fractional_dominating_set(es, k, validate=False)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup(group)) <= 8
+    assert _rows(frac) == _rows(fractional_dominating_set(g, k))
+    assert _rows(lp_rounded_dominating_set(es, k)) == _rows(lp_rounded_dominating_set(g, k))
+    es.release()
+
+
+def test_rounding_of_some_vertices(spark):
+    """Values for other ids than the graph's: the same rows as by joins."""
+    g = _edges(spark, [(i, i + 1) for i in range(20)])
+    xs = spark.createDataFrame([(i, 0.3) for i in range(3, 30)], "id bigint, x double")
+    es = EdgeSet(g, materialize=True, broadcast_bytes=0)
+    assert _rows(round_fractional_ds(es, xs, validate=False)) == _rows(round_fractional_ds(g, xs))
+    es.release()
