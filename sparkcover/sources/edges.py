@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcover.session import shuffle_partitions
+
 
 def parse_edge_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Parse edge-list text rows into ``(src, dst)``.
@@ -87,14 +89,18 @@ def bipartite_edges(table: DataFrame, left: str, right: str) -> DataFrame:
 
     Ids are made disjoint as ``2*left`` and ``2*right + 1``. Because forward edges
     have even sources and reverse edges odd ones, de-duplicating the forward
-    pairs once is enough: one shuffle for the whole graph.
+    pairs once is enough: one shuffle for the whole graph. The pairs are dealt before they are
+    made distinct, in ``spark.sql.shuffle.partitions`` parts that stay: a hash table then holds a
+    part's pairs, not those of a whole file split or of many merged parts.
     """
+    n_parts = shuffle_partitions(table.sparkSession)
     fwd = (
         table.where(F.col(left).isNotNull() & F.col(right).isNotNull())
         .select(
             (F.col(left).cast("bigint") * F.lit(2)).alias("src"),
             (F.col(right).cast("bigint") * F.lit(2) + F.lit(1)).alias("dst"),
         )
+        .repartition(n_parts, "src", "dst")
         .distinct()
     )
     return fwd.union(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -8,6 +8,7 @@ from sparkcover.operators.blocks import BlockGraph
 from sparkcover.operators.neighbors import EdgeSet
 from sparkcover.plans.greedy import greedy_dominating_set
 from sparkcover.plans.lp import fractional_dominating_set, lp_rounded_dominating_set, round_fractional_ds
+from sparkcover.sources.edges import bipartite_edges
 
 
 def _edges(spark, pairs):
@@ -81,3 +82,13 @@ def test_rounding_of_some_vertices(spark):
     es = EdgeSet(g, materialize=True, broadcast_bytes=0)
     assert _rows(round_fractional_ds(es, xs, validate=False)) == _rows(round_fractional_ds(g, xs))
     es.release()
+
+
+def test_pairs_are_dealt_before_they_are_distinct(spark):
+    """A task's hash table of pairs is one of a fixed number of parts, not a whole file split's."""
+    t = spark.createDataFrame([(1, 2), (1, 2), (None, 3), (4, 2)], "a bigint, b bigint")
+    g = bipartite_edges(t, "a", "b")
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Exchange" in x]
+    assert lines and all("REPARTITION_BY_NUM" in x for x in lines)
+    assert _rows(g) == [(2, 5), (5, 2), (5, 8), (8, 5)]
