@@ -107,10 +107,11 @@ def orders_to_nations(spark, sf_dir):
     return one_way.union(links).union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def seed_colors(edges: DataFrame) -> DataFrame:
-    """A fixed test colouring of the vertices: black, gray or white by id."""
+def seed_colors(edges) -> DataFrame:
+    """A fixed test colouring of the vertices of edges or an edge set: black, gray or white by id."""
     vid = F.col("id")
-    return vertices_from_edges(edges).select(
+    vertices = edges.vertices() if isinstance(edges, nb.EdgeSet) else vertices_from_edges(edges)
+    return vertices.select(
         "id",
         F.when(vid % 5 == 0, F.lit(BLACK))
         .when(vid % 3 == 0, F.lit(GRAY))
@@ -183,30 +184,30 @@ def q_graph_size(spark, sf_dir):
 
 def _one_step(spark, sf_dir, step: Callable) -> DataFrame:
     """``step`` on the order-part graph and its test colours; the table is read once for all of it."""
-    es = nb.EdgeSet(order_part(spark, sf_dir), materialize=True)
+    es = nb.EdgeSet(order_part(spark, sf_dir), materialize=True, checkpoint=False)
     return _settled(step(es), es)
 
 
 def q_edge_source_join(spark, sf_dir):
-    return _one_step(spark, sf_dir, lambda es: nb.edge_source_join(es, seed_colors(es.edges), "color"))
+    return _one_step(spark, sf_dir, lambda es: nb.edge_source_join(es, seed_colors(es), "color"))
 
 
 def q_neighbor_agg(spark, sf_dir):
-    return _one_step(spark, sf_dir, lambda es: nb.neighbor_agg(es, seed_colors(es.edges)))
+    return _one_step(spark, sf_dir, lambda es: nb.neighbor_agg(es, seed_colors(es)))
 
 
 def q_neighbor_any_black(spark, sf_dir):
-    return _one_step(spark, sf_dir, lambda es: nb.neighbor_any_black(es, seed_colors(es.edges)))
+    return _one_step(spark, sf_dir, lambda es: nb.neighbor_any_black(es, seed_colors(es)))
 
 
 def q_white_neighbor_count(spark, sf_dir):
-    return _one_step(spark, sf_dir, lambda es: nb.white_neighbor_count(es, seed_colors(es.edges)))
+    return _one_step(spark, sf_dir, lambda es: nb.white_neighbor_count(es, seed_colors(es)))
 
 
 def _spans(g):
     """One edge set and one held span state: the input is read once for all steps."""
-    es = nb.EdgeSet(g, materialize=True)
-    return es, es.partitioned(nb.white_neighbor_count(es, seed_colors(es.edges))).persist()
+    es = nb.EdgeSet(g, materialize=True, checkpoint=False)
+    return es, es.partitioned(nb.white_neighbor_count(es, seed_colors(es))).persist()
 
 
 def _settled(result: DataFrame, es: nb.EdgeSet, *held: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def q_twohop_local_max(spark, sf_dir):
 
 def q_neighbor_x_sum(spark, sf_dir):
     def step(es):
-        xs = vertices_from_edges(es.edges).select("id", (F.lit(1.0) / (F.col("id") % 4 + 1)).alias("x"))
+        xs = es.vertices().select("id", (F.lit(1.0) / (F.col("id") % 4 + 1)).alias("x"))
         return nb.neighbor_x_sum(es, xs)
 
     return _one_step(spark, sf_dir, step).select("id", F.round("sum_x", 6).alias("sum_x"))
@@ -246,7 +247,7 @@ def q_onehop_max_degree(spark, sf_dir):
 
 
 def q_twohop_max_degree(spark, sf_dir):
-    es = nb.EdgeSet(order_part(spark, sf_dir), materialize=True)
+    es = nb.EdgeSet(order_part(spark, sf_dir), materialize=True, checkpoint=False)
     deg1 = nb.onehop_max_degree(es).persist()
     return _settled(nb.twohop_max_degree(es, deg1), es, deg1)
 

@@ -190,12 +190,15 @@ class BlockGraph:
     send. Steps are lazy; a chain of them is one job.
     """
 
-    def __init__(self, edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES):
+    def __init__(self, edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES, degrees: DataFrame | None = None):
+        """``degrees``: every vertex with its number of edges ``(id, deg)``, held, where it is known."""
         spark = edges.sparkSession
         ship_package(spark)
         self.spark, self.sc = spark, spark.sparkContext
         self.n = n = max(1, self.sc.defaultParallelism, -(-n_edges // block_edges))
-        degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg")).persist(StorageLevel.MEMORY_AND_DISK)
+        own = degrees is None
+        if own:
+            degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg")).persist(StorageLevel.MEMORY_AND_DISK)
         hot = degrees.where(F.col("deg") >= 2 * n).select(F.col("id").alias("src"), F.lit(1).alias("_hot"))
         # at most n_edges / 2n <= block_edges / 2 rows
         at = edges.join(F.broadcast(hot), "src", "left")
@@ -211,7 +214,8 @@ class BlockGraph:
         dealt = blocks.mapPartitions(_announce(n)).partitionBy(n, _own)
         self.blocks = dealt.mapPartitions(_routed, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
         self.blocks.count()
-        degrees.unpersist()
+        if own:
+            degrees.unpersist()
 
     def start(self, first: Callable, op: str, loaded=None):
         """The first superstep: ``first(block)`` gives the state and the values to send.

@@ -36,6 +36,7 @@ from sparkcover.functions.graph import BLACK, WHITE, rank_key, rank_key_id, rank
 from sparkcover.operators.blocks import BlockGraph
 from sparkcover.plans.loop import checkpointed, kept_layout
 from sparkcover.session import broadcast_limit_bytes, drop_path, shuffle_partitions
+from sparkcover.sources.edges import vertices_from_edges
 
 # Estimated bytes per broadcast state row: UnsafeRow header + 8 bytes per field.
 _ROW_OVERHEAD = 16
@@ -57,15 +58,29 @@ class GraphStats:
     max_in_degree: int
 
 
-def graph_stats(edges: DataFrame) -> GraphStats:
-    """Vertex and edge counts, id range and largest degrees in one small job."""
-    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("e")).union(
-        edges.select(F.col("dst").alias("id"), F.lit(0).alias("e"))
+def vertex_degrees(edges: DataFrame) -> DataFrame:
+    """Every endpoint with its degrees, multiplicity counted: ``(id, out, inn)``."""
+    # one pass for both ends: where a task has both directions of an edge, its vertices are one row each
+    ends = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("src").alias("id"), F.lit(1).alias("e")),
+                F.struct(F.col("dst").alias("id"), F.lit(0).alias("e")),
+            )
+        )
     )
-    per_vertex = ends.groupBy("id").agg(
-        F.sum("e").alias("out"), (F.count(F.lit(1)) - F.sum("e")).alias("inn")
+    return ends.groupBy("id").agg(
+        F.sum("e").cast("bigint").alias("out"), (F.count(F.lit(1)) - F.sum("e")).cast("bigint").alias("inn")
     )
-    row = per_vertex.agg(
+
+
+def graph_stats(edges: DataFrame) -> GraphStats:
+    """Vertex and edge counts, id range and largest degrees in one small job."""
+    return _stats_of(vertex_degrees(edges))
+
+
+def _stats_of(degrees: DataFrame) -> GraphStats:
+    row = degrees.agg(
         F.count(F.lit(1)).alias("nv"),
         F.sum("out").alias("ne"),
         F.min("id").alias("lo"),
@@ -92,6 +107,7 @@ class EdgeSet:
         stats: GraphStats | None = None,
         *,
         materialize: bool = False,
+        checkpoint: bool = True,
         broadcast_bytes: int | None = None,
         hot_degree: int | None = None,
         split: tuple[DataFrame, DataFrame, DataFrame] | None = None,
@@ -99,17 +115,27 @@ class EdgeSet:
         on_release: Callable[[], object] | None = None,
         filter_bytes: int = _FILTER_BYTES,
     ):
-        """``split`` gives hot ids, hot and cold edges laid out beforehand, the cold ones by
+        """``materialize`` holds the edges, for loops written to the checkpoint folder too; without
+        ``checkpoint`` they are only held, which a few steps in a row need no more than.
+        ``split`` gives hot ids, hot and cold edges laid out beforehand, the cold ones by
         source in ``n_parts`` partitions (``sources.store``). ``hot_degree`` below ``n_edges / shuffle_partitions`` is raised to it: the hot
         ids are broadcast, and only that bound proves that they are few."""
         self.spark = edges.sparkSession
         edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
         self._folder: str | None = None
         if materialize:
-            edges, self._folder = checkpointed(edges)
+            if checkpoint:
+                edges, self._folder = checkpointed(edges)
             edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
         self.edges = edges
-        self.stats = stats if stats is not None else graph_stats(edges)
+        # the table behind the statistics is held: vertices and hot sources are read from it
+        self._degrees: DataFrame | None = None
+        if stats is None:
+            degrees = vertex_degrees(edges)
+            if materialize:
+                degrees = self._degrees = degrees.persist(StorageLevel.MEMORY_AND_DISK)
+            stats = _stats_of(degrees)
+        self.stats = stats
         self.mode = rank_mode(self.stats.min_id, self.stats.max_id, self.stats.max_in_degree)
         self.broadcast_bytes = (
             broadcast_limit_bytes(self.spark) if broadcast_bytes is None else broadcast_bytes
@@ -122,13 +148,20 @@ class EdgeSet:
         self._filters: list[str] = []
         self._blocks: BlockGraph | None = None
         self._owned: list[DataFrame] = [edges] if materialize else []
+        if self._degrees is not None:
+            self._owned.append(self._degrees)
 
     # ------------------------------------------------------------------ plumbing
 
+    def vertices(self) -> DataFrame:
+        """Distinct endpoints of the edges ``(id)``, without a pass over them where they are known."""
+        return vertices_from_edges(self.edges) if self._degrees is None else self._degrees.select("id")
+
     def blocks(self) -> BlockGraph:
         """The edges of a symmetric graph as adjacency blocks; made once, let go with the edge set."""
         if self._blocks is None:
-            self._blocks = BlockGraph(self.edges, self.stats.n_edges)
+            degrees = None if self._degrees is None else self._degrees.select("id", F.col("out").alias("deg"))
+            self._blocks = BlockGraph(self.edges, self.stats.n_edges, degrees=degrees)
         return self._blocks
 
     def goes_by_blocks(self) -> bool:
@@ -186,12 +219,11 @@ class EdgeSet:
     def _hot_cold(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(hot source ids, edges from hot sources, edges from cold sources)."""
         if self._split is None:
-            hot = (
-                self.edges.groupBy("src")
-                .agg(F.count(F.lit(1)).alias("deg"))
-                .where(F.col("deg") > F.lit(self.hot_degree))
-                .select("src")
-            )
+            if self._degrees is None:
+                out_degrees = self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+            else:
+                out_degrees = self._degrees.select(F.col("id").alias("src"), F.col("out").alias("deg"))
+            hot = out_degrees.where(F.col("deg") > F.lit(self.hot_degree)).select("src")
             # fewer than n_edges / hot_degree <= shuffle_partitions rows: safe to broadcast
             hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
             hot_edges = self.edges.join(F.broadcast(hot), "src", "left_semi").persist(
@@ -355,6 +387,7 @@ class EdgeSet:
         for frame in self._owned:
             frame.unpersist(blocking=False)
         self._owned = []
+        self._degrees = None
         self._split = None
         if self._blocks is not None:
             self._blocks.release()

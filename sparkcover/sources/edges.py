@@ -103,7 +103,9 @@ def bipartite_edges(table: DataFrame, left: str, right: str) -> DataFrame:
         .repartition(n_parts, "src", "dst")
         .distinct()
     )
-    return fwd.union(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # one pass for both directions: a union would read the pairs and make them distinct twice
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return fwd.select(F.inline(both))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:

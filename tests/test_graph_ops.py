@@ -124,3 +124,27 @@ def test_neighbor_x_sum(toy):
     xs = vertices_from_edges(toy).select("id", F.lit(0.5).alias("x"))
     got = {r["id"]: r["sum_x"] for r in nb.neighbor_x_sum(toy, xs).collect()}
     assert got == {1: 1.0, 2: 2.0, 3: 2.0, 4: 1.0, 5: 1.5, 6: 1.0, 7: 0.5}
+
+
+def test_an_edge_set_knows_its_vertices_and_degrees(spark):
+    """The table behind the statistics serves vertices and hot sources: no pass over the edges is added."""
+    g = spark.createDataFrame([(1, 9), (2, 9), (2, 9), (9, 3), (3, 3)], "src bigint, dst bigint")
+    es = nb.EdgeSet(g, materialize=True, checkpoint=False)
+    assert es._folder is None
+    assert sorted(r.id for r in es.vertices().collect()) == [1, 2, 3, 9]
+    plan = es.vertices()._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().startswith("Project [id") and "src" not in plan.toString().splitlines()[0]
+    assert {(r.id, r.out, r.inn) for r in es._degrees.collect()} == {(1, 1, 0), (2, 2, 0), (3, 1, 2), (9, 1, 3)}
+    assert es.stats == nb.graph_stats(g)
+    hot, hot_edges, cold_edges = nb.EdgeSet(g, materialize=True, n_parts=5)._hot_cold()
+    assert sorted(r.src for r in hot.collect()) == [2]
+    assert (hot_edges.count(), cold_edges.count()) == (2, 3)
+    es.release()
+    assert sorted(r.id for r in es.vertices().collect()) == [1, 2, 3, 9]
+
+
+def test_both_directions_come_from_one_pass(spark):
+    rows = [(1, 5), (1, 5), (2, 5), (2, None), (None, 1)]
+    g = bipartite_edges(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b")
+    assert sorted(map(tuple, g.collect())) == [(2, 11), (4, 11), (11, 2), (11, 4)]
+    assert "Union" not in g._jdf.queryExecution().optimizedPlan().toString()
