@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from sparkcover.operators.blocks import BlockGraph
+from sparkcover.operators.blocks import _VERTEX, BlockGraph, _block
 from sparkcover.operators.neighbors import EdgeSet
 from sparkcover.plans import greedy, lp
 from sparkcover.plans.lp import fractional_dominating_set
@@ -87,3 +87,41 @@ def test_two_covers_check_their_edges_once(spark, monkeypatch):
         with pytest.raises(ValueError):
             cover(loop)
     loop.release()
+
+
+def test_blocks_are_read_by_count(spark, monkeypatch):
+    """Rows of a few numbers go to Python in batches of a row count, whose bytes aren't added up for each row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    edges, seen, before = _path(spark, 40), [], spark.conf.get(key)
+    frame = type(edges)
+    call = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: seen.append(spark.conf.get(key)) or call(self, *a, **b))
+    graph = BlockGraph(edges, 80)
+    graph.load(spark.range(41).selectExpr("id", "id as value"))
+    assert seen == [str((1 << 31) - 1)] * 2
+    assert spark.conf.get(key) == before
+    widths = graph.blocks.map(lambda r: [r[1][2][a].itemsize for a in ("deg", "cold_src", "cold_starts", "hot_starts")]).collect()
+    assert widths and all(w == [4, 4, 4, 4] for w in widths)
+    graph.release()
+
+
+def test_edges_of_a_block_lie_by_where_they_lead():
+    """Also with more partitions than 8 or 16 bits number, and ids beyond 32 bits."""
+    rnd = np.random.default_rng(5)
+    for n in (3, 300, 100_000):
+        ids = np.unique(rnd.integers(0, 1 << 40, 50))
+        src, dst = rnd.choice(ids, 400), rnd.integers(0, 60, 400) << 33
+        to = dst % 7919 * 31 % n
+        none = np.zeros(len(ids), np.int64)
+        kind = np.repeat([0, _VERTEX], [400, len(ids)])
+        columns = kind, np.concatenate([src, ids]), np.concatenate([dst, none + 9]), np.concatenate([to, none])
+        block = _block(none, *(c[p] for p in [rnd.permutation(len(kind))] for c in columns))
+        starts, reached = block["cold_starts"].tolist(), block["reached"]
+        got = []
+        for q, lo, hi in block["routes"]:
+            for i in range(lo, hi):
+                stop = starts[i + 1] if i + 1 < len(starts) else 400
+                got += [(q, int(reached[i]), int(ids[s])) for s in block["cold_src"][starts[i] : stop]]
+        assert sorted(got) == sorted(zip(to.tolist(), dst.tolist(), src.tolist(), strict=True))
+        assert [g[:2] for g in got] == sorted(g[:2] for g in got)
+        assert len(reached) == len(set(zip(to.tolist(), dst.tolist(), strict=True)))
