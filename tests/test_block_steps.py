@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from sparkcover.operators import neighbors
 from sparkcover.operators.blocks import _VERTEX, BlockGraph, _block
 from sparkcover.operators.neighbors import EdgeSet
 from sparkcover.plans import greedy, lp
@@ -125,3 +126,16 @@ def test_edges_of_a_block_lie_by_where_they_lead():
         assert sorted(got) == sorted(zip(to.tolist(), dst.tolist(), src.tolist(), strict=True))
         assert [g[:2] for g in got] == sorted(g[:2] for g in got)
         assert len(reached) == len(set(zip(to.tolist(), dst.tolist(), strict=True)))
+
+
+def test_edges_are_written_for_joins_only(spark, monkeypatch):
+    """Blocks are made from held edges once; rounds of joins read edges from the checkpoint folder."""
+    written, checkpointed = [], neighbors.checkpointed
+    monkeypatch.setattr(neighbors, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    edges = _path(spark, 30)
+    by_joins = sorted(map(tuple, greedy.greedy_dominating_set(edges).collect()))
+    assert written[0] == ["src", "dst"]
+    written.clear()
+    monkeypatch.setattr(neighbors, "broadcast_limit_bytes", lambda spark: 0)
+    assert sorted(map(tuple, greedy.greedy_dominating_set(edges).collect())) == by_joins
+    assert not written
