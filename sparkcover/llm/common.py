@@ -38,16 +38,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps columns compressed and prunable.
+    ``options`` are the writer's.
     The folder is the session's own subfolder of ``spark.checkpoint.dir``.
     """
     spark, schema = df.sparkSession, df.schema
     gc.collect()
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out

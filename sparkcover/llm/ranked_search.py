@@ -16,7 +16,9 @@ owner the best ``k`` documents of each item are selected.
   reach the bound goes, and none is opened for a document that can't reach it.
 * Items are taken in passes of about ``pass_bytes`` of their text, each run to its end
   before the next, so vocabulary, weights and item terms (which every task holds) are
-  bounded however many items there are.
+  bounded however many items there are. A pass indexes the documents once; its items then
+  travel in groups, one after the other, of which a bundle holds ``bundle_cells``
+  accumulators at most, and bundles are stored in row groups of a few MB.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from pyspark.sql import types as T
 
 from sparkcover.llm.common import discard, map_arrow, written
 from sparkcover.llm.decontaminate import words_of
+from sparkcover.session import held_settings
 
 SCALE = 1_000_000_000
 
@@ -56,6 +60,14 @@ def _i32(values) -> bytes:
     return np.asarray(values, np.int32).tobytes()
 
 
+# Postings of a block, about: a block of long documents has fewer of them.
+BLOCK_POSTINGS = 1 << 20
+# Bundles are rows of up to 16 bytes per accumulator: writers look at their size after each row, and
+# readers, who take a row group's rows together, get few.
+_ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+_FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
+
+
 def _indexer(vocabulary: dict[bytes, int], block_docs: int, id_type: pa.DataType):
     """Blocks of documents: one row of ids and lengths, and one row per term with its postings."""
     schema = pa.schema(
@@ -77,7 +89,7 @@ def _indexer(vocabulary: dict[bytes, int], block_docs: int, id_type: pa.DataType
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, held = TaskContext.get().partitionId(), 0, 0
         ids, lengths, found = [], [], []
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -87,11 +99,12 @@ def _indexer(vocabulary: dict[bytes, int], block_docs: int, id_type: pa.DataType
                 terms, tfs = np.unique([vocabulary[w] for w in words if w in vocabulary], return_counts=True)
                 if len(terms):
                     found.append((terms.astype(np.int64), np.full(len(terms), len(ids)), tfs))
+                    held += len(terms)
                 ids.append(doc)
                 lengths.append(len(words))
-                if len(ids) == block_docs:
+                if len(ids) == block_docs or held >= BLOCK_POSTINGS:
                     yield block_rows((task << 32) + made, ids, lengths, found)
-                    made, ids, lengths, found = made + 1, [], [], []
+                    made, held, ids, lengths, found = made + 1, 0, [], [], []
         if ids:
             yield block_rows((task << 32) + made, ids, lengths, found)
 
@@ -177,8 +190,10 @@ def _passes(items: DataFrame, pass_bytes: int) -> Iterator[list]:
             yield rows
 
 
-def _search_pass(docs: DataFrame, rows: list, id_field, k: int, owners: int, block_docs: int) -> DataFrame | None:
-    spark = docs.sparkSession
+def _search_pass(
+    docs: DataFrame, rows: list, id_field, k: int, owners: int, block_docs: int, bundle_cells: int
+) -> DataFrame | None:
+    """The documents indexed by the words of the pass's items, then group by group of these its ranks."""
     counts = [Counter(words_of(bytes(r["t"]))) for r in rows]
     vocabulary = {w: n for n, w in enumerate(sorted(set().union(*counts)))}
     if not vocabulary:
@@ -206,27 +221,45 @@ def _search_pass(docs: DataFrame, rows: list, id_field, k: int, owners: int, blo
         F.min("least_n").alias("least_n"),
     )
     terms = [(r["term"], r["df"], r["top_tf"], r["least_n"]) for r in terms.collect()]  # bounded by the pass's text
-    weight, most, df = {}, {}, {}
+    facts = {}
     for t, n, top_tf, least_n in terms:
         if (w := term_weight(n_docs, n)) > 0:
-            weight[t], df[t] = w, n
-            most[t] = w * saturation(top_tf, length_factor(least_n, n_docs, all_terms))
+            facts[t] = (n, w, w * saturation(top_tf, length_factor(least_n, n_docs, all_terms)))
+    size = max(1, bundle_cells // block_docs)
+    found = []
+    for lo in range(0, len(rows), size):
+        group = [{vocabulary[w]: q for w, q in c.items() if vocabulary[w] in facts} for c in counts[lo : lo + size]]
+        if any(group):
+            ids = [r["i"] for r in rows[lo : lo + size]]
+            found.append(_search_group(index, ids, group, facts, (n_docs, all_terms), id_field, doc_type, arrow_id, k, owners))
+    discard(index)
+    if len(found) < 2:
+        return found[0] if found else None
+    out = written(reduce(DataFrame.unionByName, found), "search")
+    discard(*found)
+    return out
+
+
+def _search_group(
+    index: DataFrame, item_ids: list, counts: list[dict[int, int]], facts: dict, totals: tuple[int, int], id_field, doc_type,
+    arrow_id, k: int, owners: int,
+) -> DataFrame:
+    """The ranks of a group of items, of which ``counts`` has the terms; ``facts`` has each term's
+    document frequency, weight and the most that it can add."""
+    spark = index.sparkSession
+    weight = {t: facts[t][1] for c in counts for t in c}
+    df, most = {t: facts[t][0] for t in weight}, {t: facts[t][2] for t in weight}
     owner, seen, postings = {}, 0, sum(df.values())
     for t in sorted(weight, key=lambda t: (-weight[t], t)):
         owner[t] = min(owners - 1, seen * owners // max(1, postings))
         seen += df[t]
     wanted: list[dict[int, list]] = [{} for _ in range(owners)]
-    gain = [[0] * len(rows) for _ in range(owners + 1)]  # what the terms from an owner on can add
+    gain = [[0] * len(counts) for _ in range(owners + 1)]  # what the terms from an owner on can add
     for item, terms_here in enumerate(counts):
-        for word, q in terms_here.items():
-            t = vocabulary[word]
-            if t in owner:
-                wanted[owner[t]].setdefault(item, []).append((t, q))
-                for s in range(owner[t] + 1):
-                    gain[s][item] += q * most[t]
-    if not owner:
-        discard(index)
-        return None
+        for t, q in terms_here.items():
+            wanted[owner[t]].setdefault(item, []).append((t, q))
+            for s in range(owner[t] + 1):
+                gain[s][item] += q * most[t]
     weights = F.broadcast(spark.createDataFrame([(t, owner[t], weight[t]) for t in owner], "term int, owner int, w bigint"))
     owned = index.where("term is not null").join(weights, "term").select("block", "term", "w", "places", "tfs", "owner")
     nothing = F.lit(b"")
@@ -239,19 +272,19 @@ def _search_pass(docs: DataFrame, rows: list, id_field, k: int, owners: int, blo
         T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("score", T.LongType())])),
     )
     schema = T.StructType([*bundles.schema.fields, tops])
-    bound = [1] * len(rows)
-    old = index
+    bound = [1] * len(counts)
+    old = None
     for s in range(owners):
         if s not in owner.values():
             continue
-        visit = _stage(wanted[s], list(bound), gain[s], gain[s + 1], k, (n_docs, all_terms))
+        visit = _stage(wanted[s], list(bound), gain[s], gain[s + 1], k, totals)
         arrived = bundles.groupBy("block").cogroup(owned.where(F.col("owner") == s).drop("owner").groupBy("block"))
-        bundles = written(arrived.applyInArrow(visit, schema), "search-bundles")
-        if old is not index:
+        bundles = written(arrived.applyInArrow(visit, schema), "search-bundles", _ROW_GROUPS)
+        if old is not None:
             discard(old)
         old = bundles
         raised = bundles.select(F.explode("tops").alias("x")).groupBy("x.item").agg(F.max("x.score").alias("score"))
-        for r in raised.collect():  # one number per item of the pass
+        for r in raised.collect():  # one number per item of the group
             bound[r["item"]] = max(bound[r["item"]], r["score"])
         bundles = bundles.drop("tops")
     hits = map_arrow(
@@ -264,9 +297,10 @@ def _search_pass(docs: DataFrame, rows: list, id_field, k: int, owners: int, blo
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc"))
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     names = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", id_field.dataType)])
-    named = F.broadcast(spark.createDataFrame([(n, r["i"]) for n, r in enumerate(rows)], names))
-    out = written(ranked.join(named, "item").select("item_id", "rank", F.col("doc").alias("doc_id"), "score"), "search")
-    discard(index, old)
+    named = F.broadcast(spark.createDataFrame(list(enumerate(item_ids)), names))
+    with held_settings(spark, _FEW_ROWS):
+        out = written(ranked.join(named, "item").select("item_id", "rank", F.col("doc").alias("doc_id"), "score"), "search")
+    discard(old)
     return out
 
 
@@ -294,6 +328,7 @@ def ranked_search(
     item_text: str = "text",
     block_docs: int = 2048,
     pass_bytes: int = 1 << 20,
+    bundle_cells: int = 1 << 19,
 ) -> DataFrame:
     """The ``k`` best documents of each item: ``(item_id, rank, doc_id, score)``.
 
@@ -313,7 +348,7 @@ def ranked_search(
     id_field = queries.schema["i"]
     out = None
     for batch in _passes(queries, pass_bytes):
-        found = _search_pass(rows, batch, id_field, k, owners, block_docs)
+        found = _search_pass(rows, batch, id_field, k, owners, block_docs, bundle_cells)
         if found is not None:
             out = found if out is None else out.unionByName(found)
     if out is None:

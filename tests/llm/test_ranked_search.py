@@ -43,6 +43,48 @@ def check(spark, docs, items, k=5, **more):
     assert sorted(map(tuple, got), key=str) == brute(docs, items, k)
 
 
+def test_many_items_leave_bundles_small(spark, monkeypatch):
+    """A pass of many items travels in groups: no bundle grows with the number of items."""
+    from sparkcover.llm import ranked_search as module
+
+    cells, write = [], module.written
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        if label == "search-bundles":
+            cells.extend(r[0] // 4 for r in out.selectExpr("octet_length(places)").collect())
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(12)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs, items = [(i, text(9)) for i in range(120)], [(i, text(4)) for i in range(64)]
+    docs += [(i, "none of them") for i in range(900, 1000)]
+    check(spark, docs, items, block_docs=32, bundle_cells=256)
+    assert cells and 0 < max(cells) <= 256
+
+
+def test_blocks_of_long_documents_are_cut_by_postings(spark, monkeypatch):
+    from sparkcover.llm import ranked_search as module
+
+    blocks, write = [], module.written
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        if label == "search-index":
+            rows = out.where("term is not null").selectExpr("block", "octet_length(places) / 4 AS n").groupBy("block").sum("n")
+            blocks.extend(r[1] for r in rows.collect())
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    monkeypatch.setattr(module, "BLOCK_POSTINGS", 50)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(words[i % 7 :])) for i in range(60)] + [(99, "w3 x")]
+    check(spark, docs, [(i, " ".join(words[i::5])) for i in range(5)])
+    assert len(blocks) > 8 and max(blocks) < 50 + len(words)
+
+
 @pytest.mark.parametrize("more", [{}, {"owners": 1}, {"block_docs": 7, "owners": 6}, {"pass_bytes": 60, "block_docs": 50}])
 def test_random_tables(spark, more):
     rng = random.Random(9)
